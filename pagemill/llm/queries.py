@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, packing, quality_rules, source_mix, token_files, topk_search, url_filters
+from . import chat_format, language_id, ngram_join, packing, quality_rules, secret_scan, source_mix, token_files, topk_search, url_filters
 from ._store import shared_dir, tokenizer_path
 
 #: Rules that are asked for.
@@ -47,10 +47,22 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_read(spark, sf_dir, "documents")).drop("host", "host_rate")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_read(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_read(spark, sf_dir, "documents")).select("doc_id", "lang", "confidence", "text_lang", "declared", "kept")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     token_files.write_token_files(_read(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -63,7 +75,10 @@ QUERIES = {
     "op3_source_mix": op3_source_mix,
     "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
+    "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
 }
 

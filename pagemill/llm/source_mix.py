@@ -37,7 +37,7 @@ from ._store import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a shard while there are few; shards grow once there would be more than ``max_shards``.
-SHARD_WORDS = 1 << 15
+SHARD_WORDS = 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -93,7 +93,7 @@ def _chosen(block: Column, blocks: Column, salt: Column) -> Column:
 PRIMES = [7368787, 6972593, 5800079, 4256233]
 
 
-def mix_sizes(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, block_words: int = 256, max_shards: int = 1 << 16, max_sources: int = 100_000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def mix_sizes(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, block_words: int = 2048, max_shards: int = 1 << 16, max_sources: int = 100_000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, and how to cut.
 
     The cut: the document starts at word ``begin`` of its shard; block b of the shard is taken ``times``
