@@ -31,6 +31,23 @@ _TABLE_PARTS = frozenset("caption col colgroup tbody td tfoot th thead tr".split
 _SVG_TAGS = {x.lower(): x for x in "altGlyph altGlyphDef altGlyphItem animateColor animateMotion animateTransform clipPath feBlend feColorMatrix feComponentTransfer feComposite feConvolveMatrix feDiffuseLighting feDisplacementMap feDistantLight feDropShadow feFlood feFuncA feFuncB feFuncG feFuncR feGaussianBlur feImage feMerge feMergeNode feMorphology feOffset fePointLight feSpecularLighting feSpotLight feTile feTurbulence foreignObject glyphRef linearGradient radialGradient textPath".split()}
 _SVG_ATTRS = {x.lower(): x for x in "attributeName attributeType baseFrequency baseProfile calcMode clipPathUnits diffuseConstant edgeMode filterUnits glyphRef gradientTransform gradientUnits kernelMatrix kernelUnitLength keyPoints keySplines keyTimes lengthAdjust limitingConeAngle markerHeight markerUnits markerWidth maskContentUnits maskUnits numOctaves pathLength patternContentUnits patternTransform patternUnits pointsAtX pointsAtY pointsAtZ preserveAlpha preserveAspectRatio primitiveUnits refX refY repeatCount repeatDur requiredExtensions requiredFeatures specularConstant specularExponent spreadMethod startOffset stdDeviation stitchTiles surfaceScale systemLanguage tableValues targetX targetY textLength viewBox viewTarget xChannelSelector yChannelSelector zoomAndPan".split()}
 
+#: Prefixed attributes of svg and math: prefix -> local names; the prefix goes, and they come last.
+_PREFIXED = {"xlink": "actuate arcrole href role show title type".split(), "xml": ["lang", "space"], "xmlns": ["xlink"]}
+
+
+def _foreign_attrs(attrs: dict[str, str], svg: bool) -> dict[str, str]:
+    plain, last = {}, {}
+    for name, value in attrs.items():
+        prefix, colon, local = name.partition(":")
+        if colon and local in _PREFIXED.get(prefix, ()):
+            last[local] = value
+        elif svg:
+            plain[_SVG_ATTRS.get(name, name)] = value
+        else:
+            plain["definitionURL" if name == "definitionurl" else name] = value
+    return dict(sorted(plain.items(), key=lambda x: (x[0] == "xmlns", x[0]))) | last
+
+
 _NAME = re.compile(r"[A-Za-z][^\t\n\f\r />\0]*")
 _GAP = re.compile(r"[\t\n\f\r /]*")
 _ATTR = re.compile(r"(=?[^\t\n\f\r />=]*)(?:[\t\n\f\r ]*=[\t\n\f\r ]*(?:\"([^\"]*)\"|'([^']*)'|([^\t\n\f\r >]*)))?")
@@ -426,10 +443,7 @@ class Builder:
         ns = self.top.ns
         if ns == "svg":
             tag = _SVG_TAGS.get(tag, tag)
-            attrs = {_SVG_ATTRS.get(k, k): v for k, v in attrs.items()}
-        elif ns == "math" and "definitionurl" in attrs:
-            attrs["definitionURL"] = attrs.pop("definitionurl")
-        self.push(tag, attrs, ns, keep=not closed)
+        self.push(tag, _foreign_attrs(attrs, ns == "svg"), ns, keep=not closed)
 
     def _head_tag(self, tag: str, attrs: dict[str, str]) -> None:
         self.push(tag, attrs, keep=tag not in ("base", "basefont", "bgsound", "link", "meta"))
@@ -541,9 +555,7 @@ class Builder:
             self.push(tag, attrs)
         elif tag in ("math", "svg"):
             self.reconstruct()
-            if tag == "svg":
-                attrs = {_SVG_ATTRS.get(k, k): v for k, v in attrs.items()}
-            self.push(tag, attrs, tag, keep=not closed)
+            self.push(tag, _foreign_attrs(attrs, tag == "svg"), tag, keep=not closed)
         else:
             self.reconstruct()
             self.push(tag, attrs)
