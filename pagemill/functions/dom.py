@@ -130,10 +130,15 @@ class Node:
 
     def copy(self) -> Node:
         twin = Node(self.kind, self.tag, dict(self.attrs), self.data, self.ns)
-        for child in self.children:
-            below = child.copy()
-            below.parent = twin
-            twin.children.append(below)
+        todo = [(self, twin)]
+        while todo:
+            old, new = todo.pop()
+            for child in old.children:
+                below = Node(child.kind, child.tag, dict(child.attrs), child.data, child.ns)
+                below.parent = new
+                new.children.append(below)
+                if child.children:
+                    todo.append((child, below))
         return twin
 
     def __repr__(self) -> str:

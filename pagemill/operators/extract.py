@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 import time
 from collections.abc import Iterator, Mapping
 from dataclasses import asdict, replace
@@ -22,6 +23,9 @@ from .metadata import Metadata, clean_title, extract_metadata, meta_tags
 from .pipeline import Options, Page, Pass, extract_content
 from .standardize import sanitize
 
+#: Some walks go down recursively; pages nest far deeper than Python's default limit.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+
 _TAG = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "property", "content")])
 _REMOVAL = T.StructType([T.StructField(n, T.StringType()) for n in ("step", "selector", "reason", "text")])
 _TEXTS = "title description domain favicon image language published modified author site canonical_url content_type".split()
