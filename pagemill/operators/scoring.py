@@ -28,6 +28,9 @@ NOTE_REF, NOTE_LIST = 'a[href^="#fn"], sup.reference', "ol.footnotes, div.footno
 STRUCTURE = frozenset("pre table figure picture code blockquote math mjx-container".split())
 
 
+_ref, _note = compiled(NOTE_REF), compiled(NOTE_LIST)
+
+
 @dataclass
 class Features:
     """What scores need of an element, found in one walk."""
@@ -42,14 +45,13 @@ class Features:
     def of(cls, node: Node) -> Features:
         tags: dict[str, int] = {}
         parts, structure, refs, lists = [], False, False, False
-        ref, note = compiled(NOTE_REF), compiled(NOTE_LIST)
         for n in node.walk():
             if n.kind == ELEMENT:
-                tags[n.tag] = tags.get(n.tag, 0) + 1
-                css = n.get("class")
-                structure = structure or n.tag in STRUCTURE or "katex" in css or "MathJax" in css
-                refs = refs or ref(n)
-                lists = lists or note(n)
+                tag, css = n.tag, n.attrs.get("class", "")
+                tags[tag] = tags.get(tag, 0) + 1
+                structure = structure or tag in STRUCTURE or (css != "" and ("katex" in css or "MathJax" in css))
+                refs = refs or (tag in ("a", "sup") and _ref(n))
+                lists = lists or (tag in ("ol", "div") and css != "" and _note(n))
             elif n.data and n.kind == 2:
                 parts.append(n.data)
         return cls("".join(parts), tags, structure, refs, lists)
@@ -133,8 +135,7 @@ def is_likely_content(node: Node) -> bool:
 
 def clutter_score(node: Node) -> float:
     """Below 0 for elements that look like clutter."""
-    note = compiled(NOTE_LIST)
-    if note(node) or any(a.kind == ELEMENT and note(a) for a in node.ancestors()):
+    if _note(node) or any(a.kind == ELEMENT and _note(a) for a in node.ancestors()):
         return 0.0
     f = Features.of(node)
     words = count_words(f.text)

@@ -10,7 +10,7 @@ from ..functions import columns
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: path, html.  A file is one value; the reader splits work by files."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
