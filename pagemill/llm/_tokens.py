@@ -47,18 +47,18 @@ def _splits_at_spaces(path: str) -> bool:
 class TextEncoder:
     """Encodes texts to little-endian ``uint32`` bytes; one per Python worker.
 
-    ``max_parts`` bounds each of the two tables (parts between spaces, words of
-    the pattern); they save work only.  Null encodes like the empty text: to no
+    ``max_parts`` and ``max_words`` bound the two tables (parts between spaces,
+    words of the pattern); they save work only.  Null encodes like the empty text: to no
     ids.  Tokenizers that are not plain byte-level BPE encode whole texts.
     """
 
-    def __init__(self, path: str, max_parts: int = 400_000):
+    def __init__(self, path: str, max_parts: int = 500_000, max_words: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
         self._cut = _splits_at_spaces(path)
-        self._max = max_parts
+        self._max, self._max_words = max_parts, max_words
         self._added = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}  # part without the space before it -> ids of part with it
         self._words: dict[str, bytes] = {}
@@ -99,14 +99,23 @@ class TextEncoder:
         cut = [t.split(" ") for t in texts]
         known, part = self._known, self._part
         self._model = self._tok.model
-        if len(self._words) > self._max:
-            self._words.clear()
+        words, word = self._words, self._word
+        if len(words) > self._max_words:
+            words.clear()
         new = set().union(*(parts[1:] for parts in cut)).difference(known)
         if len(known) + len(new) > self._max:
             known.clear()
             new = set().union(*(parts[1:] for parts in cut))
         for p in new:
-            if p and not p[0].isspace() and not p[-1].isspace():
+            core = p.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):  # as in _part, without the call
+                w = " " + core
+                ids = words.get(w) or word(w)
+                if len(core) < len(p):
+                    tail = p[len(core) :]
+                    ids += words.get(tail) or word(tail)
+                known[p] = ids
+            elif p and not p[0].isspace() and not p[-1].isspace():
                 known[p] = part(p)
         get, out = known.__getitem__, []
         for text, parts in zip(texts, cut):
