@@ -188,11 +188,11 @@ def infer(samples: Sequence[str], alpha: float = 0.05) -> Automaton:
 class Scanner:
     """Formats and background, fitted to ``samples`` drawn examples each (a bound of the fit)."""
 
-    def __init__(self, samples: int = 300, seed: int = 11, min_bits: float = 24.0):
+    def __init__(self, samples: int = 300, seed: int = 11, min_bits: float = 40.0):
         rng = random.Random(seed)
         self.min_bits = min_bits
         self.formats = {name: infer([draw_format(name, rng) for _ in range(samples)]) for name in FORMATS}
-        self.background = infer([draw_background(rng) for _ in range(8 * samples)])
+        self.background = infer([draw_background(rng) for _ in range(24 * samples)])
 
     def score(self, text: str) -> float:
         """Bits of the best format beyond the background."""
