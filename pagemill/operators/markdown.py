@@ -19,9 +19,9 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 _AT_START = re.compile(r"(?:(\d+)(\.)(?=\s)|(-|\+ |=+|#{1,6} |~~~|>))")
 
 
-def _escape(text: str) -> str:
+def _escape(text: str, at_start: bool = True) -> str:
     """Marks that Markdown would read, behind a backslash; some only where a text starts."""
-    m = _AT_START.match(text)
+    m = _AT_START.match(text) if at_start else None
     text = re.sub(r"([\\*_`\[\]])", r"\\\1", text)
     if m:
         text = f"{m[1]}\\{text[m.start(2) :]}" if m[1] else "\\" + text
@@ -54,8 +54,10 @@ class Converter:
             part = self.node(c)
             if not part:
                 continue
-            if part == " " and (not out or out.endswith(("\n\n", " "))):
+            if part == " " and ((not out and n.tag in BLOCKS) or out.endswith(("\n\n", " "))):
                 continue
+            if not out and c.kind == TEXT and n.tag in BLOCKS:
+                part = part.lstrip(" ")
             if out.endswith(" ") or (out.endswith("\n") and not out.endswith("  \n")) and c.kind == TEXT:
                 part = part.lstrip(" ")
             if part.startswith("\n"):
@@ -67,7 +69,7 @@ class Converter:
     def ends_line(after: list[Node]) -> bool:
         """Nothing that shows stands before the next block."""
         n = next((x for x in after if x.kind == ELEMENT or (x.kind == TEXT and trim(x.data))), None)
-        return n is None or n.kind == ELEMENT and n.tag in BLOCKS
+        return n is not None and n.kind == ELEMENT and n.tag in BLOCKS
 
     def node(self, n: Node) -> str:
         if n.kind == TEXT:
@@ -80,8 +82,7 @@ class Converter:
     def text(self, n: Node) -> str:
         if any(a.tag in ("code", "pre") for a in n.ancestors()):
             return n.data
-        data = _SPACE.sub(" ", n.data)
-        return _escape(data)
+        return _escape(_SPACE.sub(" ", n.data), at_start=not any(a.tag == "math" for a in n.ancestors()))
 
     def block(self, n: Node) -> str:
         content = self.lines(n)
@@ -91,10 +92,8 @@ class Converter:
         return self.block(n) if n.tag in BLOCKS else self.children(n)
 
     def lines(self, n: Node) -> str:
-        """Content of a block; white space at its start goes if it is the block's own."""
-        content = self.children(n).strip("\n")
-        first = next((c for c in n.children if c.kind == TEXT or c.kind == ELEMENT), None)
-        return content.lstrip(" ") if first is not None and first.kind == TEXT else content
+        """Content of a block without the line ends around it."""
+        return self.children(n).strip("\n")
 
     _p = block
 
