@@ -115,7 +115,7 @@ class _Parser:
             self.at = m.end()
             if m["tag"]:
                 tag = m["tag"].lower()
-                tests.append((lambda n: True) if tag == "*" else (lambda n, t=tag: n.tag.lower() == t))
+                tests.append((lambda n: True) if tag == "*" else (lambda n, t=tag: n.tag == t))
             elif m["id"]:
                 tests.append(lambda n, v=re.sub(r"\\(.)", r"\1", m["id"]): n.attrs.get("id") == v)
             elif m["cls"]:
@@ -126,7 +126,10 @@ class _Parser:
                 tests.append(self.pseudo(m["pseudo"], bool(m["open"])))
         if not tests:
             raise SelectorError(self.text)
-        return tests[0] if len(tests) == 1 else lambda n: all(t(n) for t in tests)
+        test = tests[0]
+        for more in tests[1:]:
+            test = _both(test, more)
+        return test
 
     def pseudo(self, name: str, opened: bool) -> Test:
         if opened and name in ("not", "is", "where", "matches"):
@@ -165,6 +168,10 @@ class _Parser:
         self.at += 1
 
 
+def _both(a: Test, b: Test) -> Test:
+    return lambda n: a(n) and b(n)
+
+
 def _combined(left: Test, how: str, right: Test) -> Test:
     if how == ">":
         return lambda n: right(n) and n.parent_element is not None and left(n.parent_element)
@@ -193,6 +200,15 @@ def _has(n: Node, test: Test) -> bool:
     return any(test(c) for c in n.elements())
 
 
+_LAST = re.compile(r"([^\s>+~]*(?:\[[^\]]*\][^\s>+~]*)*)\s*\Z")
+
+
+@functools.lru_cache(maxsize=4096)
+def tags_of(selectors: tuple[str, ...]) -> frozenset[str]:
+    """Tags that elements without attributes must have to match one of some selectors that name no element twice."""
+    return frozenset(m[0].lower() for s in selectors if (m := re.match(r"[A-Za-z][\w-]*", _LAST.search(s)[1])))
+
+
 @functools.lru_cache(maxsize=4096)
 def compiled(selector: str) -> Test | None:
     """A test for elements, or None if the selector is invalid."""
@@ -207,15 +223,40 @@ def compiled(selector: str) -> Test | None:
     return tests[0] if len(tests) == 1 else lambda n: any(t(n) for t in tests)
 
 
+@functools.lru_cache(maxsize=4096)
+def _likely(selector: str) -> tuple[frozenset[str], bool] | None:
+    """(tags, whether elements with attributes may match too); None if any element may match."""
+    tags, with_attributes = set(), False
+    for one in re.split(r",(?![^\[(]*[\])])", selector):
+        last = _LAST.search(one)[1]
+        if m := re.match(r"[A-Za-z][\w-]*", last):
+            tags.add(m[0].lower())
+        elif last[:1] in (".", "#", "["):
+            with_attributes = True
+        else:
+            return None
+    return frozenset(tags), with_attributes
+
+
+def _candidates(root: Node, selector: str) -> list[Node]:
+    likely = _likely(selector)
+    if likely is None:
+        return root.elements()
+    tags, with_attributes = likely
+    if with_attributes:
+        return [n for n in root.elements() if n.attrs or n.tag in tags]
+    return [n for n in root.elements() if n.tag in tags]
+
+
 def select(root: Node, selector: str) -> list[Node]:
     """Elements below ``root`` that match, in document order; none for an invalid selector."""
     test = compiled(selector)
-    return [n for n in root.elements() if test(n)] if test else []
+    return [n for n in _candidates(root, selector) if test(n)] if test else []
 
 
 def select_one(root: Node, selector: str) -> Node | None:
     test = compiled(selector)
-    return next((n for n in root.walk() if n.kind == ELEMENT and test(n)), None) if test else None
+    return next((n for n in _candidates(root, selector) if test(n)), None) if test else None
 
 
 def matches(node: Node, selector: str) -> bool:

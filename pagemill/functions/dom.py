@@ -8,12 +8,14 @@ from collections.abc import Iterator
 #: Elements without an end tag, in output.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DOCUMENT, ELEMENT, TEXT, COMMENT = range(4)
+#: Counts changes of any tree, so that lists of elements can be kept while nothing changes.
+_changes = [0]
 
 
 class Node:
     """A document, element, text or comment.  ``data`` is the text of the last two."""
 
-    __slots__ = ("kind", "tag", "ns", "attrs", "data", "parent", "children", "flag")
+    __slots__ = ("kind", "tag", "ns", "attrs", "data", "parent", "children", "flag", "listed")
 
     def __init__(self, kind: int, tag: str = "", attrs: dict[str, str] | None = None, data: str = "", ns: str = "html"):
         self.kind, self.tag, self.ns, self.data = kind, tag, ns, data
@@ -21,6 +23,7 @@ class Node:
         self.parent: Node | None = None
         self.children: list[Node] = []
         self.flag = False
+        self.listed: tuple[int, list[Node]] | None = None
 
     def get(self, name: str, default: str = "") -> str:
         return self.attrs.get(name, default)
@@ -44,10 +47,18 @@ class Node:
                 stack.extend(node.children[::-1])
 
     def elements(self, *tags: str) -> list[Node]:
-        """Elements below, in document order; with ``tags`` only those."""
-        if tags:
-            return [n for n in self.walk() if n.kind == ELEMENT and n.tag in tags]
-        return [n for n in self.walk() if n.kind == ELEMENT]
+        """Elements below, in document order; with ``tags`` only those.  The list is shared: it is not to be changed."""
+        if self.listed is None or self.listed[0] != _changes[0]:
+            found: list[Node] = []
+            stack = self.children[::-1]
+            while stack:
+                node = stack.pop()
+                if node.kind == ELEMENT:
+                    found.append(node)
+                    if node.children:
+                        stack += node.children[::-1]
+            self.listed = (_changes[0], found)
+        return [n for n in self.listed[1] if n.tag in tags] if tags else self.listed[1]
 
     def child_elements(self) -> list[Node]:
         return [c for c in self.children if c.kind == ELEMENT]
@@ -93,12 +104,14 @@ class Node:
         if self.parent is not None:
             del self.parent.children[self.index()]
             self.parent = None
+            _changes[0] += 1
 
     def append(self, node: Node) -> Node:
         if node.parent is not None:
             node.detach()
         node.parent = self
         self.children.append(node)
+        _changes[0] += 1
         return node
 
     def insert(self, at: int, node: Node) -> Node:
@@ -106,6 +119,7 @@ class Node:
             node.detach()
         node.parent = self
         self.children.insert(at, node)
+        _changes[0] += 1
         return node
 
     def before(self, node: Node) -> None:

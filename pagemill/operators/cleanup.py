@@ -6,7 +6,7 @@ never removes an ancestor of the root.  ``trace`` gets (step, selector, reason,
 
 from __future__ import annotations
 
-from ..functions.css import select
+from ..functions.css import compiled, tags_of
 from ..functions.dom import ELEMENT, Node, words
 from . import rules, scoring
 
@@ -29,12 +29,17 @@ def _around(root: Node) -> set[int]:
 
 
 def remove_exact(doc: Node, root: Node, trace: Trace | None = None) -> None:
-    around = _around(root)
+    around, tags = _around(root), tags_of(tuple(rules.EXACT))
+    likely = [n for n in doc.elements() if n.attrs or n.tag in tags]  # no other element can match
     for selector in rules.EXACT:
-        for node in select(doc, selector):
-            if id(node) not in around:
-                note(trace, node, "removeBySelector", selector, "exact selector match")
-                node.detach()
+        test = compiled(selector)
+        found = [n for n in likely if test(n) and id(n) not in around]
+        for node in found:
+            note(trace, node, "removeBySelector", selector, "exact selector match")
+            node.detach()
+        if found:
+            gone = {id(n) for n in found}
+            likely = [n for n in likely if id(n) not in gone and not any(id(a) in gone for a in n.ancestors())]
 
 
 def _has_two_paragraphs(node: Node) -> bool:
