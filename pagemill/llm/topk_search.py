@@ -48,58 +48,47 @@ class ImpactBlock:
         self.low, self.high = self.values.min(axis=0), self.values.max(axis=0)
         spread = int((self.high - self.low).max(initial=0))
         self.shift = max(0, spread.bit_length() - (levels - 1).bit_length())
-        #: side 0 is for positive query values, side 1 for negative ones
-        self.lists = []
-        for side in (0, 1):
-            impact = (self.values - self.low if side == 0 else self.high - self.values) >> self.shift
-            rows = np.argsort(-impact, axis=0, kind="stable").T.astype(np.int32)  # per dimension, by falling impact
-            heads = []
-            for d in range(dims):
-                level = impact[rows[d], d]
-                starts = np.flatnonzero(np.r_[True, level[1:] != level[:-1]]) if n else np.zeros(0, int)
-                heads.append((level[starts], starts, np.r_[starts[1:], n]))
-            self.lists.append((rows, heads))
-
-    def search(self, query: np.ndarray, own: int, k: int, rounds: int = 6) -> list[tuple[int, int]]:
-        """The k best (score, id), best first, without the rows of id ``own``."""
-        n = len(self.ids)
+        # list 2 d is for positive query values of dimension d, list 2 d + 1 for negative ones
+        impact = np.stack([self.values - self.low, self.high - self.values], axis=2).reshape(n, 2 * dims) >> self.shift
+        self.rows = np.argsort(-impact, axis=0, kind="stable").T.astype(np.int32).ravel()  # list after list, by falling impact
+        level = np.take_along_axis(impact.T, self.rows.reshape(2 * dims, n), axis=1)
+        first = np.ones(level.shape, bool)
+        first[:, 1:] = level[:, 1:] != level[:, :-1]
+        starts = np.flatnonzero(first)
+        self.segment_list, self.segment_level = starts // max(n, 1), level.ravel()[starts]
+        self.segment_start, self.segment_size = starts, np.diff(np.r_[starts, 2 * dims * n])
+
+    def search(self, query: np.ndarray, own: int, k: int, rounds: int = 4) -> list[tuple[int, int]]:
+        """The k best (score, id), best first, without the rows of id ``own``.
+
+        The walk also ends, with the same proof, once rescoring all possible members reads less than
+        the unread postings hold.
+        """
+        n, dims = self.values.shape
         live = self.ids != own
-        if not n or not live.any():
-            return []
-        weight = np.abs(query)
-        base = int(np.where(query >= 0, query * self.low, query * self.high).sum())
-        dims = np.flatnonzero(weight)
-        pieces = []
-        for d in dims:
-            rows, heads = self.lists[int(query[d] < 0)]
-            level, start, end = heads[d]
-            pieces.append(np.stack([weight[d] * (level << self.shift), np.full(len(level), d), start, end], axis=1))
-        acc = np.zeros(n)
-        slack = int((weight[dims] * ((1 << self.shift) - 1)).sum())
-        possible = live
-        if pieces:
-            segments = np.concatenate(pieces)
-            segments = segments[np.argsort(-segments[:, 0], kind="stable")]
-            gain, dim = segments[:, 0], segments[:, 1]
-            size = segments[:, 3] - segments[:, 2]
-            total = np.cumsum(size)
-            cuts = np.unique(np.r_[np.searchsorted(total, np.linspace(0, total[-1], rounds + 1)[1:-1]) + 1, len(segments)])
-            done = 0
-            for cut in cuts:
-                part = range(done, cut)
-                rows = np.concatenate([self.lists[int(query[dim[i]] < 0)][0][dim[i], segments[i, 2] : segments[i, 3]] for i in part])
-                acc += np.bincount(rows, weights=np.repeat(gain[done:cut], size[done:cut]), minlength=n)
-                done = cut
-                # the most that a vector may still gain: the best unread segment of each dimension
-                rest = 0
-                if done < len(segments):
-                    left_dims, first = np.unique(dim[done:], return_index=True)
-                    rest = int(gain[done:][first].sum())
-                if live.sum() > k:
-                    bound = np.partition(acc[live], -k)[-k]
-                    possible = live & (acc + (rest + slack) >= bound)
-                if rest == 0 or possible.sum() <= 4 * k:
-                    break
+        weight = np.zeros(2 * dims, np.int64)
+        weight[0::2], weight[1::2] = np.maximum(query, 0), np.maximum(-query, 0)
+        used = np.flatnonzero(weight[self.segment_list])
+        gain = weight[self.segment_list[used]] * (self.segment_level[used] << self.shift)
+        order = np.argsort(-gain, kind="stable")
+        used, gain = used[order], gain[order]
+        start, size, of = self.segment_start[used], self.segment_size[used], self.segment_list[used]
+        total = np.cumsum(size)
+        slack = int(weight.sum()) * ((1 << self.shift) - 1)
+        acc, possible, done = np.zeros(n), live, 0
+        cuts = np.unique(np.r_[np.searchsorted(total, np.linspace(0, total[-1], rounds + 1)[1:-1]) + 1, len(used)]) if len(used) else []
+        for cut in cuts:
+            sizes = size[done:cut]
+            at = np.arange(sizes.sum()) + np.repeat(start[done:cut] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+            acc += np.bincount(self.rows[at], weights=np.repeat(gain[done:cut], sizes), minlength=n)
+            done = cut
+            # the most that a vector may still gain: the best unread segment of each dimension
+            rest = int(gain[done:][np.unique(of[done:], return_index=True)[1]].sum()) if done < len(used) else 0
+            if live.sum() > k:
+                bound = np.partition(acc[live], -k)[-k]
+                possible = live & (acc + (rest + slack) >= bound)
+            if possible.sum() * dims <= int(total[-1] - total[done - 1]):
+                break
         rows = np.flatnonzero(possible)
         exact = self.values[rows] @ query
         best = np.lexsort((self.ids[rows], -exact))[:k]
