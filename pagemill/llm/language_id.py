@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._chunks import chunks
 from ._store import stored
 
 #: Trigram table size, and the code of texts in no known language.
@@ -83,10 +84,17 @@ class Profiles:
         return out, letters
 
 
-def fit(docs: DataFrame, label: str = "lang", text: str = "text", sample_rows: int = 2000) -> Profiles:
-    """Profiles from the ``sample_rows`` labelled rows with the smallest text hash (a bounded sample)."""
-    rows = docs.select(F.col(label).cast("string").alias("l"), F.col(text).alias("t")).where("l is not null and t is not null and t <> ''")
-    chosen = rows.orderBy(F.xxhash64("t"), "l", "t").limit(sample_rows).collect()
+def fit(docs: DataFrame, label: str = "lang", text: str = "text", sample_rows: int = 2000, id_col: str | None = None) -> Profiles:
+    """Profiles from up to ``sample_rows`` labelled rows, those with the smallest hash of text and id (a bounded sample).
+
+    Only rows below a cut of the hashes that leaves half as many again are sorted, so partitions send few.
+    """
+    rows = docs.select(F.col(label).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(text, *([id_col] if id_col else [])).alias("h"))
+    rows = rows.where("l is not null and t is not null and t <> ''")
+    count = rows.count()
+    share = min(1.0, 1.5 * sample_rows / max(count, 1))
+    cut = min((1 << 63) - 1, int((share - 0.5) * (1 << 64)))
+    chosen = rows.where(F.col("h") <= F.lit(cut)).orderBy("h", "l", "t").limit(sample_rows).collect()
     return Profiles([(r["l"], r["t"]) for r in chosen])
 
 
@@ -130,15 +138,13 @@ def score_texts(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """(doc_id, declared, host, address, text_hash, text) with the text replaced by ``ll`` (per model) and ``letters``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "declared", "host", "address", "text_hash"]
         for batch in batches:
-            texts = batch.column("text").fill_null("").cast(pa.large_string())
-            raw = pa.array(texts.to_pylist(), pa.large_string()) if texts.offset else texts
-            offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1)
-            data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[: offsets[-1]]
-            scores, letters = profiles.scores(data, offsets)
-            rest = [batch.column(n) for n in ("doc_id", "declared", "host", "address", "text_hash")]
-            size = np.diff(offsets)
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(list(scores), pa.list_(pa.float64())), pa.array(letters, pa.int64()), pa.array(size, pa.int64())], names=["doc_id", "declared", "host", "address", "text_hash", "ll", "letters", "octets"])
+            for at, data, offsets in chunks(batch.column("text")):
+                scores, letters = profiles.scores(data, offsets)
+                rest = [batch.column(n).slice(at, len(letters)) for n in names]
+                own = [pa.array(list(scores), pa.list_(pa.float64())), pa.array(letters, pa.int64()), pa.array(np.diff(offsets), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*rest, *own], names=[*names, "ll", "letters", "octets"])
 
     return docs.mapInArrow(run, "doc_id long, declared string, host string, address string, text_hash long, ll array<double>, letters long, octets long")
 
@@ -161,7 +167,7 @@ def identify(
     of a parent's shares in its hosts' priors.
     """
     if profiles is None:
-        profiles = fit(docs, declared_col, text_col, sample_rows)
+        profiles = fit(docs, declared_col, text_col, sample_rows, id_col)
     langs = profiles.languages
     models = [*langs, UNKNOWN]
     column = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")

@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 Each document is its set of hashed five-word shingles; documents with equal sets are
-one class and go on as one.  A class has a signature: for each tree of the forest a
+copies and go on as one, here called a class.  A class has a signature: for each tree of the forest a
 sequence of minima.  Trees are sorted prefix tries; two classes are candidates if
 they share a prefix in some tree.  The prefix starts at full depth and is shortened
 until pairs at the threshold are found with the target recall.
@@ -16,8 +16,8 @@ membership matrices.  A meeting returns, per class, its number of links and the
 smallest member of its linked chain.  So nothing grows with the square of a group.
 
 Cases: a null text is empty; texts without words have no shingles, are linked to
-nothing and are classes of their own; texts of one to four words have one shingle,
-of all their words; rows that repeat a text are one class, also under the same
+nothing and stand alone; texts of one to four words have one shingle,
+of all their words; rows that repeat a text are copies, also under the same
 doc_id; null doc_ids sort last as representatives; an empty table gives an empty
 result.  Long texts are read whole.  Other columns are not read.
 """
@@ -34,12 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._chunks import CHUNK, chunks
 from ._graph import components
 from ._store import stored
 
 _U = np.uint64
-#: Bytes of text that are hashed at once, but for a longer text.
-CHUNK = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=_U)
 _BASE = 0x9E3779B97F4A7C15
@@ -104,18 +103,6 @@ class Shingler:
         return out, np.r_[0, np.cumsum(np.bincount(of, minlength=n_docs))]
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of about :data:`CHUNK` bytes."""
-    texts = pa.concat_arrays([column.fill_null("").cast(pa.large_string())])
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1 + texts.offset)[texts.offset :]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
-        yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
-        at = to
-
-
 def recall(similarity: float, trees: int, depth: int) -> float:
     """Chance that a pair of this Jaccard value shares a prefix of this depth in some tree."""
     return 1 - (1 - similarity**depth) ** trees
@@ -317,17 +304,18 @@ BROADCAST_ROWS = 250_000
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: tuple[int, int] = (4, 5), trees: int = 24, depth: int = 8, target_recall: float = 0.9999, meeting: int = 512) -> DataFrame:
-    """doc_id, class_id, group_id, n_links for every document.
+    """doc_id, class_id, copy_id, n_links for every document.
 
-    ``threshold`` is a fraction.  ``class_id``: smallest doc_id with the same shingle set; ``group_id``:
-    smallest doc_id that links lead to; ``n_links``: number of other documents at or above the threshold.
+    ``threshold`` is a fraction.  ``class_id``: smallest doc_id that links lead to, one for all near
+    copies; ``copy_id``: smallest doc_id with the same shingle set; ``n_links``: number of other
+    documents at or above the threshold.
     """
     found = _labelled(docs, id_col, text_col, size, threshold, trees, depth, target_recall, meeting)
-    return found.select("doc_id", "class_id", "group_id", "n_links")
+    return found.select("doc_id", "class_id", "copy_id", "n_links")
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: tuple[int, int], trees: int, depth: int, target_recall: float, meeting: int) -> DataFrame:
-    """Per document: doc_id, text_hash, grp (key of its group; null without words), class_id, group_id, n_links."""
+    """Per document: doc_id, text_hash, grp (key of its class; null without words), class_id, copy_id, n_links."""
     top, bottom = threshold
     level = top / bottom
     prefix = forest_depth(level, trees, depth, target_recall)
@@ -353,16 +341,16 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, threshold:
     joined = components(checked.where("split").select(F.col("key").alias("u"), F.col("root").alias("v")))
     near = links.join(joined, F.col("key") == F.col("node"), "left").select("key", "links", F.coalesce("root", "near").alias("grp"))
     near = near.join(classes.select("key", "rep"), "key")
-    heads = near.groupBy("grp").agg(F.min("rep").alias("group_id"))
-    near = near.join(heads, "grp").select(F.col("key").alias("n_key"), "links", "group_id", "grp")
+    heads = near.groupBy("grp").agg(F.min("rep").alias("class_id"))
+    near = near.join(heads, "grp").select(F.col("key").alias("n_key"), "links", "class_id", "grp")
     known = classes.select(F.col("key").alias("c_key"), "rep", "copies").join(near, F.col("c_key") == F.col("n_key"), "left")
     out = ids.join(known, F.col("key") == F.col("c_key"), "left")
     return out.select(
         "doc_id",
         "text_hash",
         F.coalesce("grp", "key").alias("grp"),
-        F.coalesce("rep", "doc_id").alias("class_id"),
-        F.coalesce("group_id", "rep", "doc_id").alias("group_id"),
+        F.coalesce("class_id", "rep", "doc_id").alias("class_id"),
+        F.coalesce("rep", "doc_id").alias("copy_id"),
         (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
     )
 

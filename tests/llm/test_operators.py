@@ -202,7 +202,7 @@ def test_jaccard_join(spark, no_docs):
     want = Counter((d, rows[group[i]][0] if _shingles(t) else d, len(links[i])) for i, (d, t) in enumerate(rows))
     for meeting in (512, 8):
         got = ngram_join.jaccard_join(table, meeting=meeting).collect()
-        assert Counter((r["doc_id"], r["group_id"], r["n_links"]) for r in got) == want
+        assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
     kept = ngram_join.keep_one(table)
     heads = {g for i, g in enumerate(group) if _shingles(rows[i][1])}
     assert kept.columns == table.columns and kept.count() == len(heads) + len({r for r in rows if not _shingles(r[1])})
