@@ -14,7 +14,7 @@ row each; grouped aggregations then count declared languages, suffixes and hosts
 the texts' own best language.  Languages times declared codes are few rows; hosts may
 be many, so their priors are joined, by a join that adaptive execution may split.
 
-Cases: a null or empty text and one without letters are of language "und" and
+Cases: a null or empty text and one without a trigram of letters and spaces are of language "und" and
 rejected; a null host has a prior of its own; unknown, null or malformed declared
 codes are one value each ("other", "none"); repeated rows count each; ties go to the
 language that comes first by code point; without labelled rows every document is
@@ -54,6 +54,12 @@ def has_letter(octets: np.ndarray) -> np.ndarray:
     return ((octets | 32) >= 97) & ((octets | 32) <= 122) | (octets >= 128)
 
 
+def says_something(octets: np.ndarray) -> np.ndarray:
+    """For each trigram, whether it is of letters and white space only; numbers and signs are of no language."""
+    ok = has_letter(octets) | (octets == 32) | ((octets >= 9) & (octets <= 13))
+    return ok[:-2] & ok[1:-1] & ok[2:] if len(octets) >= 3 else np.zeros(0, bool)
+
+
 class Profiles:
     """log P(trigram | language) as float32[BUCKETS, languages + 1]; the last column is the uniform model."""
 
@@ -61,7 +67,8 @@ class Profiles:
         rows: dict[str, list[np.ndarray]] = {}
         for lang, text in labelled:
             if lang and text:
-                rows.setdefault(lang, []).append(trigrams(np.frombuffer(text.encode(), np.uint8)))
+                octets = np.frombuffer(text.encode(), np.uint8)
+                rows.setdefault(lang, []).append(trigrams(octets)[says_something(octets)])
         self.languages = sorted(x for x, parts in rows.items() if len(parts) >= min_rows)
         table = np.full((BUCKETS, len(self.languages) + 1), -math.log(BUCKETS), np.float32)
         for k, lang in enumerate(self.languages):
@@ -70,18 +77,24 @@ class Profiles:
         self.table = table
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log-likelihood per trigram (texts x models) and numbers of letter bytes, of joined texts."""
+        """Mean log-likelihood per trigram (texts x models) and numbers of trigrams, of joined texts.
+
+        A text without any is best under the uniform model.
+        """
         n = len(offsets) - 1
-        letters = np.diff(np.r_[0, np.cumsum(has_letter(data))][offsets])
-        out = np.zeros((n, self.table.shape[1]))
-        grams = trigrams(data)
+        out, counts = np.zeros((n, self.table.shape[1])), np.zeros(n, np.int64)
+        out[:, :-1] = -1
+        grams, valid = trigrams(data), says_something(data)
         for k in range(n):
-            a, b = offsets[k], offsets[k + 1] - 2
-            for at in range(a, b, 1 << 20):  # bounded memory for long texts
-                out[k] += self.table[grams[at : min(b, at + (1 << 20))]].sum(axis=0, dtype=np.float64)
-            if b > a:
-                out[k] /= b - a
-        return out, letters
+            a, b = offsets[k], max(offsets[k], offsets[k + 1] - 2)
+            own = grams[a:b][valid[a:b]]
+            counts[k] = len(own)
+            if len(own):
+                out[k] = 0
+                for at in range(0, len(own), 1 << 20):  # bounded memory for long texts
+                    out[k] += self.table[own[at : at + (1 << 20)]].sum(axis=0, dtype=np.float64)
+                out[k] /= len(own)
+        return out, counts
 
 
 def fit(docs: DataFrame, label: str = "lang", text: str = "text", sample_rows: int = 2000, id_col: str | None = None) -> Profiles:
@@ -135,18 +148,18 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def score_texts(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """(doc_id, declared, host, address, text_hash, text) with the text replaced by ``ll`` (per model) and ``letters``."""
+    """(doc_id, declared, host, address, text_hash, text) with the text replaced by ``ll`` (per model) and ``grams``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "declared", "host", "address", "text_hash"]
         for batch in batches:
             for at, data, offsets in chunks(batch.column("text")):
-                scores, letters = profiles.scores(data, offsets)
-                rest = [batch.column(n).slice(at, len(letters)) for n in names]
-                own = [pa.array(list(scores), pa.list_(pa.float64())), pa.array(letters, pa.int64()), pa.array(np.diff(offsets), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*rest, *own], names=[*names, "ll", "letters", "octets"])
+                scores, counts = profiles.scores(data, offsets)
+                rest = [batch.column(n).slice(at, len(counts)) for n in names]
+                own = [pa.array(list(scores), pa.list_(pa.float64())), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*rest, *own], names=[*names, "ll", "grams"])
 
-    return docs.mapInArrow(run, "doc_id long, declared string, host string, address string, text_hash long, ll array<double>, letters long, octets long")
+    return docs.mapInArrow(run, "doc_id long, declared string, host string, address string, text_hash long, ll array<double>, grams long")
 
 
 def identify(
@@ -174,11 +187,11 @@ def identify(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), column(declared_col).alias("declared"), column(host_col).alias("host"), column(address_col).alias("address"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     rows = score_texts(rows, profiles)
     # the mean decides how likely a text is; its length, up to EFFECTIVE trigrams, how sure that is
-    rows = rows.withColumn("ll", F.transform("ll", lambda x: x * F.least(F.col("octets"), F.lit(EFFECTIVE))))
+    rows = rows.withColumn("ll", F.transform("ll", lambda x: x * F.least(F.col("grams"), F.lit(EFFECTIVE))))
     best = F.array_max("ll")
-    rows = rows.withColumn("top", F.when(F.col("letters") == 0, len(langs)).otherwise(F.array_position("ll", best).cast("int") - 1))
+    rows = rows.withColumn("top", F.when(F.col("grams") == 0, len(langs)).otherwise(F.array_position("ll", best).cast("int") - 1))
     rows = rows.withColumn("code", _code(F.col("declared"), langs)).withColumn("suffix", address_suffix(F.col("address"), langs) if address_col else F.lit("none"))
-    rows = stored(rows.select("doc_id", "text_hash", "declared", "host", "code", "suffix", "ll", "letters", "top"))
+    rows = stored(rows.select("doc_id", "text_hash", "declared", "host", "code", "suffix", "ll", "grams", "top"))
 
     flags = [F.sum((F.col("top") == k).cast("long")).alias(f"n{k}") for k in range(len(models))]
     counts = lambda df: F.array(*[F.col(f"n{k}").cast("double") for k in range(len(models))])
@@ -210,7 +223,7 @@ def identify(
     out = out.withColumn("post", F.zip_with(F.zip_with("ll", F.transform("prior", lambda p: F.log(p)), lambda a, b: a + b), F.zip_with(said, suffix_ll, lambda a, b: a + b), lambda a, b: a + b))
     out = out.withColumn("most", F.array_max("post"))
     out = out.withColumn("confidence", 1 / F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most"))))
-    out = out.withColumn("at", F.when(F.col("letters") == 0, F.lit(len(langs))).otherwise(F.array_position("post", F.col("most")).cast("int") - 1))
+    out = out.withColumn("at", F.when(F.col("grams") == 0, F.lit(len(langs))).otherwise(F.array_position("post", F.col("most")).cast("int") - 1))
     names = F.array(*map(F.lit, models))
     out = out.withColumn("lang", F.get(names, F.col("at"))).withColumn("text_lang", F.get(names, F.col("top")))
     return out.select("doc_id", "text_hash", "host", "lang", "confidence", "text_lang", "declared", ((F.col("lang") != UNKNOWN) & (F.col("confidence") >= min_confidence)).alias("kept"))
