@@ -8,7 +8,8 @@ Evidence of a document, each as P(evidence | language):
 * the suffix of its address (last label of the host, or a language code in the path);
 * its host's prior, smoothed towards the host's parent domain, and that towards all.
 
-The trigram profiles are fitted to a bounded sample of labelled rows.  Everything
+The trigram profiles are fitted to a bounded sample of the rows of each label; a label
+with fewer than ``min_rows`` (5) rows in the whole table has none.  Everything
 else is counted over all documents: one pass scores the texts and stores a narrow
 row each; grouped aggregations then count declared languages, suffixes and hosts by
 the texts' own best language.  Languages times declared codes are few rows; hosts may
@@ -28,7 +29,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._chunks import chunks
@@ -97,18 +98,43 @@ class Profiles:
         return out, counts
 
 
-def fit(docs: DataFrame, label: str = "lang", text: str = "text", sample_rows: int = 2000, id_col: str | None = None) -> Profiles:
-    """Profiles from up to ``sample_rows`` labelled rows, those with the smallest hash of text and id (a bounded sample).
+def label_rows(counts: Sequence[int], sample_rows: int, least: int = 50) -> int:
+    """Rows to take of each label that has them, so that all labels together give ``sample_rows``; ``least`` at any rate."""
+    left, ordered = sample_rows, sorted(counts)
+    for k, count in enumerate(ordered):
+        share = left // (len(ordered) - k)
+        if count > share:
+            return max(least, share)
+        left -= count
+    return max(least, sample_rows)
 
-    Only rows below a cut of the hashes that leaves half as many again are sorted, so partitions send few.
+
+def fit(docs: DataFrame, label: str = "lang", text: str = "text", sample_rows: int = 2000, id_col: str | None = None, min_rows: int = 5) -> Profiles:
+    """Profiles of every label that has ``min_rows`` rows with text in the whole table, however rare it is.
+
+    Labels are counted over all rows.  Each gives its rows with the smallest hash of text and id, as many as
+    :func:`label_rows` says: all labels the same number or all they have, about ``sample_rows`` together.  Only rows
+    below a cut of the hashes that leaves half as many again are sorted; where repeated rows make it leave too few,
+    the label is read again with a wider cut.
     """
     rows = docs.select(F.col(label).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(text, *([id_col] if id_col else [])).alias("h"))
-    rows = rows.where("l is not null and t is not null and t <> ''")
-    count = rows.count()
-    share = min(1.0, 1.5 * sample_rows / max(count, 1))
-    cut = min((1 << 63) - 1, int((share - 0.5) * (1 << 64)))
-    chosen = rows.where(F.col("h") <= F.lit(cut)).orderBy("h", "l", "t").limit(sample_rows).collect()
-    return Profiles([(r["l"], r["t"]) for r in chosen])
+    rows = rows.where("l <> '' and t <> ''")
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().where(F.col("count") >= min_rows).collect()}
+    take = label_rows(list(counts.values()), sample_rows)
+    chosen: dict[str, list[tuple[str, str]]] = {}
+    todo, margin = sorted(counts), 1.5
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    while todo:
+        shares = {x: min(1.0, margin * take / counts[x]) for x in todo}
+        cuts = docs.sparkSession.createDataFrame([(x, min((1 << 63) - 1, int((s - 0.5) * (1 << 64)))) for x, s in shares.items()], "cut_l string, cut long")
+        below = rows.join(F.broadcast(cuts), (F.col("l") == F.col("cut_l")) & (F.col("h") <= F.col("cut")))
+        below = below.groupBy("l", "h").agg(F.min("t").alias("t"), F.count("*").alias("n"))  # repeated rows are one with their number
+        found: dict[str, list[tuple[str, str]]] = {x: [] for x in todo}
+        for r in below.withColumn("at", first).where(F.col("at") <= take).orderBy("l", "at").collect():
+            found[r["l"]] += [(r["l"], r["t"])] * min(r["n"], take - len(found[r["l"]]))
+        chosen |= found
+        todo, margin = [x for x in todo if len(found[x]) < min(take, counts[x]) and shares[x] < 1], margin * 4
+    return Profiles([row for x in sorted(chosen) for row in chosen[x]], min_rows)
 
 
 def _code(declared: Column, known: Sequence[str]) -> Column:
@@ -173,14 +199,15 @@ def identify(
     sample_rows: int = 2000,
     min_confidence: float = 0.5,
     strength: float = 20.0,
+    min_rows: int = 5,
 ) -> DataFrame:
     """doc_id, text_hash, host, lang, confidence, text_lang, declared, kept: one row per document.
 
     ``kept`` is false for "und" and below ``min_confidence``.  ``strength`` is the weight, in documents,
-    of a parent's shares in its hosts' priors.
+    of a parent's shares in its hosts' priors.  Labels with fewer than ``min_rows`` rows are no known language.
     """
     if profiles is None:
-        profiles = fit(docs, declared_col, text_col, sample_rows, id_col)
+        profiles = fit(docs, declared_col, text_col, sample_rows, id_col, min_rows)
     langs = profiles.languages
     models = [*langs, UNKNOWN]
     column = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")

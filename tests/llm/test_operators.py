@@ -229,6 +229,15 @@ def test_language(spark, docs, no_docs):
     assert language_id.identify(no_docs).count() == 0 and language_id.identify(docs).count() == len(TEXTS)
 
 
+def test_rare_language_of_a_large_table_is_known(spark):
+    en, de, fr = "the and of with that was for this is in it on ", "der die und nicht mit ist ein auf dem sie ich ", "le la les des une est dans pour que qui sur avec "
+    rows = [(k, en * (1 + k % 4), "en", "a") for k in range(3000)] + [(5000 + k, de * (1 + k % 4), "de", "a") for k in range(6)] + [(6000, fr, "fr", "b")] * 1500 + [(7000 + k, fr + "z", "xx", "c") for k in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert language_id.fit(table, sample_rows=200, id_col="doc_id").languages == ["de", "en", "fr"]  # xx has too few rows
+    kept = language_id.keep_known(table.where("lang <> 'fr'"), sample_rows=200)
+    assert kept.where("lang = 'de' and doc_id between 5000 and 5005").count() == 6
+
+
 def test_held_out_language(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     profiles = language_id.fit(rows.where("doc_id % 2 = 0"), sample_rows=300)

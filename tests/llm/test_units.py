@@ -184,3 +184,8 @@ def test_profiles_tell_languages_apart():
         assert p.languages[int(scores[0, :2].argmax())] == lang and letters[0] > 20 and scores[0].argmax() < 2
     raw = "ไทยภาษา ภาษาไทย".encode()
     assert p.scores(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0][0].argmax() == 2  # in no known language
+
+
+def test_rows_of_labels():
+    assert language_id.label_rows([10, 20], 2000) == 2000 and language_id.label_rows([10, 10_000, 9000], 2000) == 995
+    assert language_id.label_rows([10_000] * 400, 2000) == 50 and language_id.label_rows([], 2000) == 2000
