@@ -26,6 +26,8 @@ _OTHERS = [b for b in range(256) if b not in set(_PRINTABLE)]
 _BYTE_CHARS = [chr(b) if b in set(_PRINTABLE) else chr(256 + _OTHERS.index(b)) for b in range(256)]
 #: A cut: a single space between two characters that are no white space.
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A line break that is a word of its own: one between two characters that are no white space.
+_LINE_CUT = re.compile(r"(?<=\S)\n(?=\S)")
 
 
 def _splits_at_spaces(path: str) -> bool:
@@ -77,14 +79,18 @@ class TextEncoder:
         return ids
 
     def _part(self, part: str, lead: str = " ") -> bytes:
+        """Ids of ``lead + part``, line by line, however many there are."""
+        if "\n" not in part:
+            return self._line(part, lead)
+        first, *lines = _LINE_CUT.split(part)
+        return self._word("\n").join([self._line(first, lead), *(self._line(x, "") for x in lines)])
+
+    def _line(self, part: str, lead: str) -> bytes:
         """Ids of ``lead + part``.  Latin letters, then marks, are two words; the rest the library splits."""
         core = part.rstrip(_MARKS)
         if core.isalpha() and max(core) < "\u0250":
             ids = self._word(lead + core)
             return ids + self._word(part[len(core) :]) if len(core) < len(part) else ids
-        left, line, right = part.partition("\n")
-        if line and left and right and not left[-1].isspace() and not right[0].isspace():
-            return self._part(left, lead) + self._word(line) + self._part(right, "")
         if any(a in part for a in self._added):
             return self._whole([lead + part])[0]
         out = []

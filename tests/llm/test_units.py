@@ -73,6 +73,12 @@ def test_encoding_in_parts_is_encoding_the_whole(parts):
     assert np.frombuffer(encoder.batch([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_thousands_of_lines_without_a_space():
+    encoder, whole = _encoders()
+    for text in ("word7\n" * 5000 + "end", "日本語\n" * 3000 + "x", "x " + "\n".join(map(str, range(4000))) + "\n\nb\nc"):
+        assert np.frombuffer(encoder.batch([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 700), max_size=30), st.integers(1, 5))
 def test_packer_places_every_id_once(sizes, windows):
