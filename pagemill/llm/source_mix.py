@@ -2,14 +2,16 @@
 
 1. Sizes (words) are summed per source.  Targets share all words by weight; none is
    above ``max_epochs`` times its source, and the excess goes to the others by weight.
-2. The mix is a number of blocks of equal length in words.  Sainte-Lague gives each
-   source an integer quota of blocks: the highest quotients target / (2j + 1) win.
-   All of them down to a common divisor are taken at once, so no list of quotients
-   is made; what is then left or too much is settled quotient by quotient.
+2. Sainte-Lague gives each source an integer quota of words: the highest quotients
+   target / (2j + 1) win.  All of them down to a common divisor are taken at once, so
+   no list of quotients is made; what is then left or too much is settled quotient by
+   quotient.
 3. A source's quota is split over its shards, by the same rule and the shards' words.
 4. Inside a shard, documents follow each other in a seeded order and the words are
-   cut into blocks.  Each block is taken floor(quota / blocks) times; the rest of the
-   quota goes to blocks chosen by a seeded permutation.  No block is taken more than
+   cut into blocks of ``block_words``, the last one shorter.  Each word is taken
+   floor(quota / words) times; the rest of the quota is taken block by block in the
+   order of a seeded permutation, and only the last of these blocks is cut.  So how a
+   source is cut depends on no other source's size.  No word is taken more than
    ``max_epochs`` times, so no document gives more than that times its words.
 
 Only one row per source and shard comes to the driver; the number of shards is at
@@ -96,8 +98,8 @@ PRIMES = [7368787, 6972593, 5800079, 4256233]
 def mix_sizes(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: int = 17, block_words: int = 2048, max_shards: int = 1 << 16, max_sources: int = 100_000, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, and how to cut.
 
-    The cut: the document starts at word ``begin`` of its shard; block b of the shard is taken ``times``
-    times, plus one if the seeded place of b among ``blocks`` is below ``extra``.  See :func:`pieces`.
+    The cut: the document starts at word ``begin`` of its shard; every word of the shard is taken ``times`` times,
+    and ``extra`` words once more, block by block in the seeded order of the ``blocks``.  See :func:`pieces`.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(text_col)).alias("text_hash"))
@@ -109,8 +111,7 @@ def mix_sizes(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs:
     words = [r["words"] for r in by_source]
     total = sum(words)
     goal = targets(words, [weights[i % len(weights)] for i in range(len(words))], max_epochs) if total else [0.0] * len(words)
-    length = max(1, min(block_words, int(min([g for g in goal if g > 0], default=1.0) / 256)))
-    seats = apportion(goal, round(sum(goal) / length), [max_epochs * _blocks(w, length) for w in words])
+    seats = apportion(goal, round(sum(goal)), [max_epochs * w for w in words])
     per_shard = max(SHARD_WORDS, -(-total // max_shards))
     shards = [max(1, -(-w // per_shard)) for w in words]
 
@@ -126,23 +127,18 @@ def mix_sizes(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs:
         held.setdefault(number[r["source"]], []).append(r)
     quota = []
     for i, parts in held.items():
-        blocks = [_blocks(r["words"], length) for r in parts]
-        for r, n, q in zip(parts, blocks, apportion([r["words"] for r in parts], seats[i], [max_epochs * n for n in blocks])):
-            quota.append((r["source"], r["shard"], r["words"], n, q // n if n else 0, q % n if n else 0))
+        for r, q in zip(parts, apportion([r["words"] for r in parts], seats[i], [max_epochs * r["words"] for r in parts])):
+            n = r["words"]
+            quota.append((r["source"], r["shard"], n, -(-n // block_words), q // n if n else 0, q % n if n else 0))
     fields = T.StructType([T.StructField("q_source", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("q_shard", "words", "blocks", "times", "extra")]])
     # at most max_shards + max_sources rows of six fields: a proven bound
     quotas = F.broadcast(spark.createDataFrame(quota, fields))
     order = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.coalesce(F.sum("size").over(order), F.lit(0)))
     rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
-    rows = rows.withColumn("salt", F.xxhash64(F.lit(seed + 2), "source", "shard"))
+    rows = rows.withColumn("salt", F.xxhash64(F.lit(seed + 2), "source", "shard")).withColumn("block_words", F.lit(block_words).cast("long"))
     taken = F.aggregate(pieces(), F.lit(0).cast("long"), lambda a, p: a + p["words"] * p["times"])
-    return rows.withColumn("taken", taken).select("doc_id", "source", "size", "source_size", "target", "taken", "text_hash", "begin", "words", "blocks", "times", "extra", "salt")
-
-
-def _blocks(words: int, length: int) -> int:
-    """Blocks that a shard is cut into: about ``length`` words each, equal to one word."""
-    return max(1, (2 * words + length) // (2 * length)) if words else 0
+    return rows.withColumn("taken", taken).select("doc_id", "source", "size", "source_size", "target", "taken", "text_hash", "begin", "words", "blocks", "block_words", "times", "extra", "salt")
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -150,19 +146,21 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def pieces() -> Column:
-    """The parts of a row of :func:`mix_sizes`: array of (start word, words, times), one per block it touches."""
-    begin, size = F.col("begin"), F.col("size")
-    n, words = F.greatest(F.col("blocks"), F.lit(1)), F.greatest(F.col("words"), F.lit(1))
-    end = begin + F.greatest(size, F.lit(1)) - 1
-    touched = F.when(size > 0, F.sequence(_div(begin * n, words), _div(end * n, words))).otherwise(F.array().cast("array<bigint>"))
-
-    def part(b: Column) -> Column:
-        first = F.greatest(_div(b * words + n - 1, n), begin)
-        last = F.least(_div((b + 1) * words + n - 1, n), begin + size)
-        chosen = _chosen(b, n, F.col("salt")) < F.col("extra")
-        return F.struct((first - begin).alias("start"), (last - first).alias("words"), (F.col("times") + chosen.cast("long")).alias("times"))
-
-    return F.transform(touched, part)
+    """The parts of a row of :func:`mix_sizes`: array of (start word, words, times), one or two per block it touches."""
+    begin, end, length = F.col("begin"), F.col("begin") + F.col("size"), F.col("block_words")
+    n = F.greatest(F.col("blocks"), F.lit(1))
+    missing = n * length - F.col("words")  # by so much the last block is shorter
+    touched = F.when(F.col("size") > 0, F.sequence(_div(begin, length), _div(end - 1, length))).otherwise(F.array().cast("array<bigint>"))
+
+    def parts(b: Column) -> Column:
+        place, last = _chosen(b, n, F.col("salt")), _chosen(n - 1, n, F.col("salt"))
+        before = place * length - F.when(place > last, missing).otherwise(0)  # words of the blocks in front of it in the order
+        first, stop = F.greatest(b * length, begin), F.least((b + 1) * length, end)
+        cut = F.least(F.greatest(b * length + F.col("extra") - before, first), stop)  # up to here one time more
+        part = lambda x, y, more: F.struct((x - begin).alias("start"), (y - x).alias("words"), (F.col("times") + more).alias("times"))
+        return F.array(part(first, cut, 1), part(cut, stop, 0))
+
+    return F.filter(F.flatten(F.transform(touched, parts)), lambda p: p["words"] > 0)
 
 
 def _runs(copy: Column) -> Column:

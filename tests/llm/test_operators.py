@@ -77,6 +77,19 @@ def test_taken_words_are_the_mix(docs, no_docs):
     assert got == +want and source_mix.take_words(no_docs).count() == 0
 
 
+def test_a_tiny_source_does_not_change_how_others_are_cut(spark):
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(2000)), "big" if k % 2 else "also big") for k in range(40)]
+    rows.append((99, "only three words", None))
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = source_mix.mix_sizes(table).collect()
+    target, taken = {r["source"]: r["target"] for r in mixed}, Counter()
+    for r in mixed:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+    runs = [len(WORD.findall(r["text"])) for r in source_mix.take_words(table).where("source is not null").collect()]
+    assert sum(runs) == taken["big"] + taken["also big"] and len(runs) < 3 * len(rows)  # blocks of 2,048 words cut few documents
+
+
 def test_chat(spark):
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", "a"), (2, 1, None, None), (2, None, "user", "x"), (None, 1, "user", "n"), (3, 1, "user", "s"), (3, 1, "user", "s"), (-7, 0, "user", "</s>[INST] ok [/INST]")]
     table = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
