@@ -7,7 +7,9 @@ leaves a small probabilistic automaton.  A background automaton is inferred in t
 same way from ordinary strings (words, numbers, slugs, identifiers).  Every
 candidate of every text is scored: bits that the best format gives it beyond the
 background.  Spans of fixed base patterns are always reported; the automata add
-spans that overlap none of them.
+spans that overlap none of them: of a candidate that touches base spans, each part
+outside them that is long enough is scored by itself, and all parts are reported if
+the whole candidate scores that much more than its base spans do.
 
 The labelled examples are drawn by a seeded rule from public formats; their number
 is a documented bound of the fit and the automata travel with the task.  Scanning
@@ -43,7 +45,7 @@ KINDS = ("assign", "access", "hex", "format")
 _KEYWORDS = ("password", "passwd", "secret", "token", "api")
 #: A run of hex digits is never reported if shorter, so shorter ones are not looked at.
 _LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE, CANDIDATE_CHARS = re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20
 
 UPPER, LOWER, DIGITS = string.ascii_uppercase, string.ascii_lowercase, string.digits
 #: Public credential formats: pieces of fixed text, or (characters, least, most).
@@ -75,7 +77,7 @@ def draw_background(rng: random.Random) -> str:
     if kind == 2:
         return "-".join([*(word() for _ in range(rng.randint(2, 6))), *[number(4)] * rng.randrange(2)])
     if kind == 3:
-        return "/".join([*(word() for _ in range(rng.randint(1, 4))), number(4), number(2), word()])
+        return "/" * rng.randrange(3) + "/".join([*(word() for _ in range(rng.randint(1, 4))), *[number(4), number(2)] * rng.randrange(2), word()])
     if kind == 4:
         return "_".join([*(word() for _ in range(rng.randint(2, 5))), *[number(4)] * rng.randrange(2)])
     if kind == 5:
@@ -213,10 +215,24 @@ class Scanner:
         base = sorted(found)
         for m in CANDIDATE.finditer(text):
             start, end, run = m.start(), m.end(), m[0]
-            if run.isalpha() or run.isdigit() or any(s < end and start < e for s, e, _ in base):
+            inner = [(max(s, start), min(e, end)) for s, e, _ in base if s < end and start < e]
+            if not inner:
+                if self.score(run) >= self.min_bits:
+                    found.append((start, end, "format"))
                 continue
-            if any(c in DIGITS for c in run) and any(c.isalpha() for c in run) and self.score(run) >= self.min_bits:
-                found.append((start, end, "format"))
+            parts, held, at = [], [], start  # outside and inside base spans, which may overlap
+            for s, e in inner:
+                if s > at:
+                    parts.append((at, s))
+                if e > at:
+                    held.append((max(s, at), e))
+                    at = e
+            if at < end:
+                parts.append((at, end))
+            if not parts:
+                continue
+            whole = self.score(run) - sum(max(0.0, self.score(text[s:e])) for s, e in held) >= self.min_bits
+            found += [(s, e, "format") for s, e in parts if whole or e - s >= CANDIDATE_CHARS and self.score(text[s:e]) >= self.min_bits]
         return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

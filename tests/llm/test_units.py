@@ -152,6 +152,21 @@ def test_spans():
     assert secret_scan.masked("ab secret=abcdef cd", tool.spans("ab secret=abcdef cd"), "[X]") == "ab [X] cd"
 
 
+def test_every_part_of_a_candidate_is_scored():
+    tool, rng = secret_scan.default_scanner(), random.Random(7)
+    letters, base64 = secret_scan.UPPER + secret_scan.LOWER, secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGITS + "+/"
+    draw = lambda chars, n: "".join(rng.choices(chars, k=n))
+    for prefix, n in (("sk_live_", 28), ("AIza", 35), ("ghp_", 36)):  # without a digit
+        key = prefix + draw(letters, n)
+        assert tool.spans(f"a {key} b") == [(2, 2 + len(key), "format")], key
+    text = "AKIA" + draw(secret_scan.UPPER, 16) + "/" + draw(base64, 40)
+    assert tool.spans(text) == [(0, 20, "access"), (20, 61, "format")]
+    text = "AIzaQ" + draw(letters.upper(), 5) + "0123456789abcdef01234567" + draw(letters.upper(), 6)
+    assert tool.spans(text) == [(0, 10, "format"), (10, 34, "hex"), (34, 40, "format")] and secret_scan.masked(text, tool.spans(text), "") == ""
+    for plain in ("/usr/share/lib/python/site-packages", "getElementsByClassNameFromDocument", "commit-" + "0a1b2c3d4e" * 4, "ordinary-words-in-a-slug", "12345678901234567890"):
+        assert all(kind == "hex" for _, _, kind in tool.spans(plain)), plain
+
+
 def test_forest_depth():
     assert ngram_join.forest_depth(0.8, 24, 8, 0.9999) == 5 and ngram_join.recall(0.8, 24, 5) >= 0.9999
 
