@@ -71,12 +71,21 @@ def _attr_text(raw: str) -> str:
     return _ATTR_REF.sub(sub, raw)
 
 
+_LONG_REF = re.compile(r"&#(?:([0-9]{9,})|[xX]([0-9a-fA-F]{9,}))")
+
+
+def _shorter(m: re.Match) -> str:
+    """A numeric reference without leading zeros; beyond all characters, one that stands for U+FFFD."""
+    digits = (m[1] or m[2]).lstrip("0") or "0"
+    return f"&#{'' if m[1] else 'x'}{digits if len(digits) < 9 else '110000' if m[2] else '1114112'}"
+
+
 def _ref(ref: str) -> str:
-    return html.unescape(ref)
+    return html.unescape(_LONG_REF.sub(_shorter, ref))
 
 
 def _text(raw: str) -> str:
-    return html.unescape(raw) if "&" in raw else raw
+    return _ref(raw) if "&" in raw else raw
 
 
 class Builder:

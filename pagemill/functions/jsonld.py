@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from typing import Any
 
@@ -21,9 +22,10 @@ def without_comments(text: str) -> str:
 
 
 def _character(m: re.Match) -> str:
-    if not m[1] and not m[2].isdigit():
+    digits = m[2].lstrip("0") or "0"
+    if len(digits) > 8 or not (m[1] or digits.isdigit()):
         return m[0]
-    code = int(m[2], 16 if m[1] else 10)
+    code = int(digits, 16 if m[1] else 10)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
 
 
@@ -59,12 +61,31 @@ def _reject(name: str) -> Any:
     raise ValueError(name)
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    return value if math.isfinite(value) else _reject(text)
+
+
+def _integer(text: str) -> int | float:
+    """Whole numbers of 64 bits; others are floating-point numbers."""
+    value = int(text) if len(text) <= 20 else None
+    return value if value is not None and -(1 << 63) <= value < 1 << 64 else _finite(text)
+
+
+def parsed(text: str) -> Any:
+    """JSON without lone surrogates, non-finite numbers or constants beyond the standard; ValueError for those."""
+    value = json.loads(text, parse_constant=_reject, parse_float=_finite, parse_int=_integer)
+    if "\\u" in text:
+        json.dumps(value, ensure_ascii=False).encode()  # UnicodeEncodeError, a ValueError, for a lone surrogate
+    return value
+
+
 def schema_data(doc: Node) -> Any:
     """None, the one item, or the list of items of all scripts that parse."""
     items: list = []
     for script in select(doc, 'script[type="application/ld+json"]'):
         try:
-            items += _items(_decoded(json.loads(without_comments(script.text()), parse_constant=_reject)))
+            items += _items(_decoded(parsed(without_comments(script.text()))))
         except (ValueError, RecursionError):
             continue
     return None if not items else items[0] if len(items) == 1 else items

@@ -79,6 +79,20 @@ def prepare(html: str) -> str:
     return join_surrogates(hide_comment_tags(html))
 
 
+def integer(text: str | None, most: int = (1 << 64) - 1) -> int | None:
+    """An unsigned decimal number, a plus sign allowed; None for anything else and above ``most``."""
+    digits = text.removeprefix("+") if text is not None else ""
+    if not (digits.isascii() and digits.isdigit()) or len(digits.lstrip("0")) > 20:
+        return None
+    value = int(digits.lstrip("0") or "0")
+    return value if value <= most else None
+
+
+def error_text(e: Exception) -> str:
+    """Kind and message of an error, short and without anything that Arrow can't hold."""
+    return f"{type(e).__name__}: {e}"[:300].encode(errors="replace").decode()
+
+
 def html_escape(s: str) -> str:
     return s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from ..functions.css import compiled, tags_of
 from ..functions.dom import ELEMENT, Node, words
+from ..functions.text import integer
 from . import rules, scoring
 
 Trace = list
@@ -109,10 +110,10 @@ def remove_hidden(root: Node, elements: list[Node], trace: Trace | None = None)
         node.detach()
 
 
-def remove_partial(root: Node, elements: list[Node], trace: Trace | None = None) -> None:
-    around, found = _around(root), []
+def remove_partial(root: Node, elements: list[Node], trace: Trace | None = None, names: tuple[str, ...] = rules.PARTIAL_NAMES) -> None:
+    around, found, pattern = _around(root), [], rules.partial_pattern(names)
     for node in elements:
-        if id(node) in around or not any(rules.PARTIAL.search(node.attrs[a]) for a in rules.PARTIAL_ATTRIBUTES if a in node.attrs):
+        if id(node) in around or not any(pattern.search(node.attrs[a].lower()) for a in rules.PARTIAL_ATTRIBUTES if a in node.attrs):
             continue
         if _in_code(node) or _in_note_list(node) or node.tag == "pre" or node.elements("pre"):
             continue
@@ -155,13 +156,9 @@ def remove_images(root: Node) -> None:
             node.detach()
 
 
-def _number(text: str | None) -> int | None:
-    return int(text) if text is not None and text.removeprefix("+").isascii() and text.removeprefix("+").isdigit() else None
-
-
 def remove_small_images(root: Node) -> None:
     for node in root.elements("img"):
-        w, h = _number(node.attrs.get("width")), _number(node.attrs.get("height"))
+        w, h = (integer(node.attrs.get(x), (1 << 32) - 1) for x in ("width", "height"))
         src = node.attrs.get("src")
         if (w is not None and w < 33) or (h is not None and h < 33) or not src or src.startswith("data:image/gif"):
             node.detach()
@@ -184,6 +181,6 @@ def dedupe_images(root: Node) -> None:
 
 
 def _quality(node: Node) -> int:
-    w, h = _number(node.attrs.get("width")), _number(node.attrs.get("height"))
+    w, h = integer(node.attrs.get("width")), integer(node.attrs.get("height"))
     size = w * h if w and h else (w or 0) + (h or 0)
     return size + (10000 if "srcset" in node.attrs else 0) + len(node.get("src").encode())

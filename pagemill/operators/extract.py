@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import jsonld
 from ..functions.dom import Node
-from ..functions.text import count_words_html, non_empty, prepare
+from ..functions.text import count_words_html, error_text, non_empty, prepare
 from . import extractors
 from .markdown import to_markdown
 from .metadata import Metadata, clean_title, extract_metadata, meta_tags
@@ -29,7 +29,8 @@ sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
 _TAG = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "property", "content")])
 _REMOVAL = T.StructType([T.StructField(n, T.StringType()) for n in ("step", "selector", "reason", "text")])
 _TEXTS = "title description domain favicon image language published modified author site canonical_url content_type".split()
-#: The result of a page.  ``schema_org_data`` is JSON; ``meta_tags`` and ``debug`` are null unless debugging.
+#: The result of a page.  ``schema_org_data`` is JSON; ``meta_tags`` and ``debug`` are null unless debugging;
+#: ``error`` says why a page has no result, and is null where it has one.
 RESULT = T.StructType(
     [
         T.StructField("content", T.StringType()),
@@ -42,6 +43,7 @@ RESULT = T.StructType(
         T.StructField("extractor_type", T.StringType()),
         T.StructField("meta_tags", T.ArrayType(_TAG)),
         T.StructField("debug", T.StructType([T.StructField("content_selector", T.StringType()), T.StructField("removals", T.ArrayType(_REMOVAL))])),
+        T.StructField("error", T.StringType()),
     ]
 )
 
@@ -98,9 +100,20 @@ def extract_page(html: str | None, url: str | None = None, options: Options | No
         "extractor_type": kind,
         "meta_tags": meta_tags(page.parsed) if o.debug else None,
         "debug": {"content_selector": best.selector, "removals": best.removals} if o.debug else None,
+        "error": None,
     }
 
 
+def result_row(html: str | None, url: str | None = None, options: Options | None = None, payloads: Mapping[str, str] | None = None) -> dict[str, Any]:
+    """As :func:`extract_page`; a page that can't be handled gives nulls and its ``error``, so that it stops no job."""
+    try:
+        row = extract_page(html, url, options, payloads)
+        pa.array([row], type=ARROW_RESULT)
+        return row
+    except Exception as e:  # noqa: BLE001: whatever a page brings about belongs to its row
+        return dict.fromkeys(RESULT.fieldNames()) | {"error": error_text(e)}
+
+
 def extract(pages: DataFrame, options: Options | None = None, html_col: str = "html", url_col: str | None = "url", api_payloads: DataFrame | None = None) -> DataFrame:
     """``pages`` with a struct column ``page`` (:data:`RESULT`); other columns stay.
 
@@ -109,7 +122,6 @@ def extract(pages: DataFrame, options: Options | None = None, html_col: str = "h
     page gets those whose address its own address asks for.
     """
     o = options or Options()
-    fields = RESULT.fieldNames()
     row = pages.withColumn("__html", F.col(html_col).cast("string")).withColumn("__url", F.col(url_col).cast("string") if url_col else F.lit(o.url).cast("string"))
     if api_payloads is not None:
         row = _with_payloads(row, api_payloads)
@@ -118,8 +130,8 @@ def extract(pages: DataFrame, options: Options | None = None, html_col: str = "h
 
     @F.arrow_udf(RESULT)
     def run(html: pa.Array, url: pa.Array, payloads: pa.Array) -> pa.Array:
-        rows = [extract_page(h, u, o, dict(p or ())) for h, u, p in zip(html.to_pylist(), url.to_pylist(), payloads.to_pylist())]
-        return pa.array([{k: r[k] for k in fields} for r in rows], type=ARROW_RESULT)
+        rows = [result_row(h, u, o, dict(p or ())) for h, u, p in zip(html.to_pylist(), url.to_pylist(), payloads.to_pylist())]
+        return pa.array(rows, type=ARROW_RESULT)
 
     return row.withColumn("page", run("__html", "__url", "__payloads")).drop("__html", "__url", "__payloads")
 

@@ -7,16 +7,16 @@ address to its body, fetched beforehand.  Nothing here opens a connection.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from typing import Any
 
+from ..functions import jsonld
 from ..functions.css import select, select_one
 from ..functions.dom import Node, escape_attr, inner_html, trim
-from ..functions.text import count_words_html, html_escape, strip_html_tags
+from ..functions.text import count_words_html, html_escape, integer, strip_html_tags
 from .gfm import markdown_to_html
 
 Payloads = Mapping[str, str]
@@ -111,13 +111,13 @@ def _cut(text: str, limit: int = 50) -> str:
 
 
 def _int(text: str) -> int:
-    return int(text) if text.isascii() and text.isdigit() else 0
+    return integer(text) or 0
 
 
 def _load(payloads: Payloads, url: str) -> Any:
     try:
-        return json.loads(payloads[url])
-    except (KeyError, ValueError):
+        return jsonld.parsed(payloads[url])
+    except (KeyError, ValueError, RecursionError):
         return None
 
 
@@ -156,8 +156,8 @@ def bbcode_to_html(source: str) -> str:
 
 def _first_item(doc: Node, name: str) -> dict:
     try:
-        data = json.loads(_attr(doc, f"div[{name}]", name))
-    except ValueError:
+        data = jsonld.parsed(_attr(doc, f"div[{name}]", name))
+    except (ValueError, RecursionError):
         return {}
     return data[0] if isinstance(data, list) and data and isinstance(data[0], dict) else {}
 

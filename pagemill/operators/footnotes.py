@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from ..functions.css import select, select_one
 from ..functions.dom import ELEMENT, TEXT, WHITE, Node, element, inner_html, outer_html, trim
 from ..functions.htmlparse import parse_fragment
+from ..functions.text import integer
 from . import rules
 
 #: Signs and wording of notes.
@@ -121,11 +122,11 @@ def _lists(notes: Notes) -> None:
 
 def _asides(notes: Notes) -> None:
     for ol in select(notes.root, "aside > ol[start]"):
-        start = ol.get("start").removeprefix("+")
+        start = integer(ol.get("start"))
         items = ol.elements("li")
-        if start.isascii() and start.isdigit() and int(start) > 0 and items:
+        if start and items:
             content = inner_html(items[0]) if len(items) == 1 else "".join(f"<p>{inner_html(i)}</p>" for i in items)
-            notes.add(str(int(start)), without_backlinks(content), int(start))
+            notes.add(str(start), without_backlinks(content), start)
             notes.holders.append(ol.parent)
 
 
@@ -136,8 +137,9 @@ def _word(notes: Notes) -> None:
         holder = link.parent_element
         while holder is not None and holder is not notes.root and holder.tag not in ("p", "div", "li"):
             holder = holder.parent_element
-        if m and holder is not None and holder is not notes.root:
-            notes.add(f"_ftn{int(m[1])}", without_backlinks(inner_html(holder)), int(m[1]))
+        number = integer(m[1]) if m else None
+        if number is not None and holder is not None and holder is not notes.root:
+            notes.add(f"_ftn{number}", without_backlinks(inner_html(holder)), number)
             notes.holders.append(holder)
 
 
@@ -156,7 +158,8 @@ def _note_heading(first: Node) -> list[Node]:
 
 
 def _google_docs(notes: Notes) -> None:
-    pairs = [(int(m[1]), p) for p in select(notes.root, 'p[id^="ftnt"]') if (m := re.fullmatch(r"ftnt(\d+)", p.get("id")))]
+    named = [(integer(m[1]), p) for p in select(notes.root, 'p[id^="ftnt"]') if (m := re.fullmatch(r"ftnt(\d+)", p.get("id")))]
+    pairs = [(number, p) for number, p in named if number is not None]
     if len(pairs) < 2:
         return
     pairs.sort(key=lambda x: x[0])
@@ -217,7 +220,7 @@ def _number_of(n: Node) -> int | None:
     if first is None or first.tag not in ("sup", "strong"):
         return None
     text = trim(first.text())
-    return int(text) if text.isascii() and text.isdigit() and text[0] != "0" else None
+    return integer(text) if text[:1] not in ("0", "+") else None
 
 
 def _confirmed(root: Node, rows: list[tuple[int, Node]]) -> bool:
@@ -314,7 +317,8 @@ class _References:
         if found is not None:
             return found
         text = trim(ref.text()).strip("[]()")
-        return int(text) if text.isascii() and text.isdigit() and str(int(text)) == text and int(text) in self.numbers else None
+        number = integer(text)
+        return number if number in self.numbers and str(number) == text else None
 
 
 def _is_set(n: Node) -> bool:
@@ -356,8 +360,9 @@ def _set_references(notes: Notes) -> None:
     open_numbers = {n for n in notes.found if n not in refs.used}
     for n in select(root, "sup, span.footnote-ref") if open_numbers else []:
         m = _LINK_NUMBER.fullmatch(trim(n.text()))
-        if m and int(m[1]) in open_numbers and not n.get("id").startswith("fnref:") and not _among_notes(n):
-            refs.put(_outermost(n), int(m[1]))
+        number = integer(m[1]) if m else None
+        if number in open_numbers and not n.get("id").startswith("fnref:") and not _among_notes(n):
+            refs.put(_outermost(n), number)
 
 
 def _note_list(found: dict[int, tuple[str, str]]) -> Node:

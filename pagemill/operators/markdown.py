@@ -6,6 +6,7 @@ import re
 
 from ..functions.dom import ELEMENT, TEXT, Node, trim
 from ..functions.htmlparse import parse_document
+from ..functions.text import integer
 
 #: Elements that stand on lines of their own.
 BLOCKS = frozenset(
@@ -168,7 +169,8 @@ class Converter:
         if up is not None and up.tag == "ol":
             start = up.get("start")
             row = [c for c in up.child_elements() if c.tag == "li"]
-            number = (int(start) if re.fullmatch(r"-?\d+", start) else 1) + next(k for k, c in enumerate(row) if c is n)
+            first = integer(start.removeprefix("-")) if "+" not in start else None
+            number = (1 if first is None else -first if start[0] == "-" else first) + next(k for k, c in enumerate(row) if c is n)
             mark = f"{number}.  "
         else:
             mark = "*   "

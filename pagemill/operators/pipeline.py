@@ -8,12 +8,15 @@ from ..functions.css import select, select_one
 from ..functions.dom import Node, count_words, outer_html, selector_path
 from ..functions.htmlparse import parse_document
 from ..functions.text import count_words_html, first_words
-from . import canonical, cleanup, footnotes, patterns, scoring, standardize
+from . import canonical, cleanup, footnotes, patterns, rules, scoring, standardize
 
 
 @dataclass(frozen=True)
 class Options:
-    """What to do with a page.  ``url`` is per page; see :func:`pagemill.operators.extract.extract`."""
+    """What to do with a page.  ``url`` is per page; see :func:`pagemill.operators.extract.extract`.
+
+    ``clutter_names``: parts of class names, ids and test ids whose elements go with ``remove_partial_selectors``.
+    """
 
     url: str | None = None
     content_selector: str | None = None
@@ -29,6 +32,7 @@ class Options:
     remove_content_patterns: bool = True
     standardize: bool = True
     include_replies: bool = True
+    clutter_names: tuple[str, ...] = rules.PARTIAL_NAMES
 
 
 @dataclass
@@ -82,7 +86,7 @@ def clean(doc: Node, root: Node, o: Options, trace: list[dict] | None) -> None:
     if o.remove_hidden_elements:
         cleanup.remove_hidden(root, elements, trace)
     if o.remove_partial_selectors:
-        cleanup.remove_partial(root, elements, trace)
+        cleanup.remove_partial(root, elements, trace, o.clutter_names)
     if o.remove_low_scoring:
         cleanup.remove_low_scoring(root, elements, trace)
     if root is doc or any(a is doc for a in root.ancestors()):

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from ..functions.css import compiled, select, select_one
 from ..functions.dom import ELEMENT, Node, class_and_id, count_words, link_density, link_targets
+from ..functions.text import integer
 from . import rules
 
 #: Patterns of class names, navigation words, dates, bylines and profiles.
@@ -67,7 +68,7 @@ def is_layout_cell(node: Node) -> bool:
         return False
     table = next((a for a in node.ancestors() if a.tag == "table"), None)
     width = table.get("width").rstrip("px") if table is not None else ""
-    return width.isascii() and width.isdigit() and int(width) > 400
+    return (integer(width, (1 << 32) - 1) or 0) > 400
 
 
 def is_right_aligned(node: Node) -> bool:

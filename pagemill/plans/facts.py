@@ -18,11 +18,11 @@ from ..functions import columns, jsonld
 from ..functions.css import select_one
 from ..functions.dom import trim
 from ..functions.htmlparse import parse_document
-from ..functions.text import prepare
+from ..functions.text import error_text, prepare
 from ..operators.metadata import DUBLIN, SOURCES
 
-_FACTS = T.StructType([T.StructField("meta", T.MapType(T.StringType(), T.StringType())), *[T.StructField(n, T.StringType()) for n in ("html_title", "html_lang", "canonical", "icon", "schema")]])
-_ARROW = pa.struct([("meta", pa.map_(pa.string(), pa.string())), *[(n, pa.string()) for n in ("html_title", "html_lang", "canonical", "icon", "schema")]])
+_FACTS = T.StructType([T.StructField("meta", T.MapType(T.StringType(), T.StringType())), *[T.StructField(n, T.StringType()) for n in ("html_title", "html_lang", "canonical", "icon", "schema", "error")]])
+_ARROW = pa.struct([("meta", pa.map_(pa.string(), pa.string())), *[(n, pa.string()) for n in ("html_title", "html_lang", "canonical", "icon", "schema", "error")]])
 
 
 def page_facts(html: str | None) -> dict:
@@ -47,13 +47,24 @@ def page_facts(html: str | None) -> dict:
         "canonical": href('link[rel="canonical"]'),
         "icon": href('link[rel="icon"]') or href('link[rel="shortcut icon"]'),
         "schema": None if data is None else json.dumps(data, ensure_ascii=False),
+        "error": None,
     }
 
 
+def facts_row(html: str | None) -> dict:
+    """As :func:`page_facts`; a page that can't be handled gives nulls and its ``error``."""
+    try:
+        row = page_facts(html)
+        pa.array([row], type=_ARROW)
+        return row
+    except Exception as e:  # noqa: BLE001: whatever a page brings about belongs to its row
+        return {"error": error_text(e)}
+
+
 @F.arrow_udf(_FACTS)
 def facts(html: pa.Array) -> pa.Array:
     """Column function: the facts of a page's HTML."""
-    return pa.array([page_facts(h) for h in html.to_pylist()], type=_ARROW)
+    return pa.array([facts_row(h) for h in html.to_pylist()], type=_ARROW)
 
 
 def source(spec: str, meta: Column, schema: Column) -> Column:

@@ -2,7 +2,8 @@
 
 ``nodes(page, node_id, end_id, parent_id, depth, child_idx, kind, tag, attrs, own_text)``: ids count in
 document order; ``end_id`` is the last id below a node, so d is below a if and only if
-``a.node_id < d.node_id <= a.end_id`` on the same page.
+``a.node_id < d.node_id <= a.end_id`` on the same page.  A page that can't be parsed has one row
+of kind "error" with the reason as its text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.functions import udtf
 from ..functions import columns
 from ..functions.dom import COMMENT, DOCUMENT, ELEMENT, TEXT, Node
 from ..functions.htmlparse import parse_document
-from ..functions.text import prepare
+from ..functions.text import error_text, prepare
 
 SCHEMA = "page long, node_id int, end_id int, parent_id int, depth int, child_idx int, kind string, tag string, attrs map<string,string>, own_text string"
 _KINDS = {DOCUMENT: "document", ELEMENT: "element", TEXT: "text", COMMENT: "comment"}
@@ -26,6 +27,13 @@ _ARROW = pa.schema([("page", pa.int64()), ("node_id", pa.int32()), ("end_id", pa
 
 def node_rows(html: str | None) -> list[tuple]:
     """Rows of one page, without the page's id, in document order."""
+    try:
+        return _rows(parse_document(prepare(html or "")))
+    except Exception as e:  # noqa: BLE001: whatever a page brings about belongs to its rows
+        return [(0, 0, None, 0, 0, "error", None, None, error_text(e))]
+
+
+def _rows(doc: Node) -> list[tuple]:
     rows: list[list] = []
 
     def add(n: Node, parent: int | None, depth: int, idx: int) -> None:
@@ -45,7 +53,7 @@ def node_rows(html: str | None) -> list[tuple]:
             todo.append(iter(enumerate(c.children)))
             path.append(own)
 
-    add(parse_document(prepare(html or "")), None, 0, 0)
+    add(doc, None, 0, 0)
     return [tuple(r) for r in rows]
 
 

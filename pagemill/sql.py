@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from .functions import text
 from .operators import extractors, gfm, markdown
-from .operators.extract import ARROW_RESULT, RESULT, extract_page
+from .operators.extract import ARROW_RESULT, RESULT, result_row
 from .operators.pipeline import Options
 from .plans import nodes
 from .sources import web
@@ -26,9 +26,17 @@ _SCALARS = {
 
 
 def _scalar(function, spark_type, arrow_type):
+    """A column function; null for null and for a value that the function can't handle."""
+
+    def one(value: str | None):
+        try:
+            return pa.scalar(None if value is None else function(value), type=arrow_type)
+        except Exception:  # noqa: BLE001: one value must not stop a job
+            return pa.scalar(None, type=arrow_type)
+
     @F.arrow_udf(spark_type)
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else function(v) for v in values.to_pylist()], type=arrow_type)
+        return pa.array([one(v) for v in values.to_pylist()], type=arrow_type)
 
     return run
 
@@ -40,8 +48,7 @@ SCALARS = {name: _scalar(*spec) for name, spec in _SCALARS.items()}
 @F.arrow_udf(RESULT)
 def extract_content(html: pa.Array, url: pa.Array) -> pa.Array:
     o = Options(separate_markdown=True)
-    rows = [extract_page(h, u, o) for h, u in zip(html.to_pylist(), url.to_pylist())]
-    return pa.array([{k: r[k] for k in RESULT.fieldNames()} for r in rows], type=ARROW_RESULT)
+    return pa.array([result_row(h, u, o) for h, u in zip(html.to_pylist(), url.to_pylist())], type=ARROW_RESULT)
 
 
 def register(spark: SparkSession) -> None:
