@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 #: Elements without an end tag, in output.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,7 +78,7 @@ class Node:
         return self.parent if self.parent is not None and self.parent.kind == ELEMENT else None
 
     def index(self) -> int:
-        return next(k for k, c in enumerate(self.parent.children) if c is self)
+        return self.parent.children.index(self)
 
     def sibling(self, step: int) -> Node | None:
         """Next (1) or previous (-1) sibling that is an element."""
@@ -133,9 +133,12 @@ class Node:
         self.detach()
 
     def unwrap(self) -> None:
-        for child in list(self.children):
-            self.before(child)
-        self.detach()
+        at, up = self.index(), self.parent
+        for child in self.children:
+            child.parent = up
+        up.children[at : at + 1] = self.children
+        self.parent, self.children = None, []
+        _changes[0] += 1
 
     def set(self, name: str, value: str) -> None:
         """Sets an attribute; it moves to the end."""
@@ -159,6 +162,17 @@ class Node:
         return f"<{self.tag or self.kind} {self.attrs}>"
 
 
+def detach_all(nodes: Iterable[Node]) -> None:
+    """Detaches all nodes; each parent's row is made anew once."""
+    gone = {id(n) for n in nodes}
+    for up in {id(n.parent): n.parent for n in nodes if n.parent is not None}.values():
+        for c in up.children:
+            if id(c) in gone:
+                c.parent = None
+        up.children = [c for c in up.children if id(c) not in gone]
+    _changes[0] += 1
+
+
 def element(tag: str, attrs: dict[str, str] | None = None, *children: Node | str) -> Node:
     node = Node(ELEMENT, tag, attrs)
     for c in children:

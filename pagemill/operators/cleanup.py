@@ -7,7 +7,8 @@ never removes an ancestor of the root.  ``trace`` gets (step, selector, reason,
 from __future__ import annotations
 
 from ..functions.css import compiled, tags_of
-from ..functions.dom import ELEMENT, Node, words
+from ..functions.dom import ELEMENT, Node, detach_all, words
+from ..functions.index import Forest, Index
 from ..functions.text import integer
 from . import rules, scoring
 
@@ -30,7 +31,8 @@ def _around(root: Node) -> set[int]:
 
 
 def remove_exact(doc: Node, root: Node, trace: Trace | None = None) -> None:
-    around, tags = _around(root), tags_of(tuple(rules.EXACT))
+    around, tags, index = _around(root), tags_of(tuple(rules.EXACT)), Index(doc)
+    place, gone = {id(n): k for k, n in enumerate(index.nodes)}, bytearray(len(index.nodes))
     likely = [n for n in doc.elements() if n.attrs or n.tag in tags]  # no other element can match
     for selector in rules.EXACT:
         test = compiled(selector)
@@ -38,26 +40,25 @@ def remove_exact(doc: Node, root: Node, trace: Trace | None = None) -> None:
         for node in found:
             note(trace, node, "removeBySelector", selector, "exact selector match")
             node.detach()
+            k = place[id(node)]
+            gone[k : index.last[k]] = b"\1" * (index.last[k] - k)
         if found:
-            gone = {id(n) for n in found}
-            likely = [n for n in likely if id(n) not in gone and not any(id(a) in gone for a in n.ancestors())]
+            likely = [n for n in likely if not gone[place[id(n)]]]
 
 
 def _has_two_paragraphs(node: Node) -> bool:
-    last = False
-    for child in node.child_elements():
-        if child.tag == "p" and last:
-            return True
-        last = child.tag == "p"
-    return any(_has_two_paragraphs(c) for c in node.child_elements())
+    """Two paragraphs next to each other under one element."""
+    row = [c.tag for c in node.children if c.kind == ELEMENT]
+    return any(a == b == "p" for a, b in zip(row, row[1:]))
 
 
 def remove_headers(doc: Node, root: Node, trace: Trace | None = None) -> None:
-    around = _around(root)
-    for node in doc.elements("header"):
-        if id(node) not in around and not _has_two_paragraphs(node):
-            note(trace, node, "removeBySelector", "header", "header without content paragraphs")
-            node.detach()
+    around, view = _around(root), Forest().view
+    headers = [n for n in doc.elements("header") if id(n) not in around]
+    found = [n for n in headers if not _has_two_paragraphs(n) and not view(n).below(_has_two_paragraphs)]
+    for node in found:
+        note(trace, node, "removeBySelector", "header", "header without content paragraphs")
+    detach_all(found)
 
 
 def is_hidden(node: Node) -> bool:
@@ -72,8 +73,8 @@ def is_hidden(node: Node) -> bool:
     return any(c in ("hidden", ":hidden", "invisible") for c in names)
 
 
-def _in_code(node: Node) -> bool:
-    return node.tag in ("pre", "code") or any(a.tag in ("pre", "code") for a in node.ancestors())
+def _is_code(n: Node) -> bool:
+    return n.tag in ("pre", "code")
 
 
 def _is_note_id(node: Node) -> bool:
@@ -81,24 +82,14 @@ def _is_note_id(node: Node) -> bool:
     return name == "footnotes" or name.startswith("fn:")
 
 
-def _in_note_list(node: Node) -> bool:
-    for a in (node, *node.ancestors()):
-        if a.kind != ELEMENT:
-            break
-        css = a.get("class")
-        if _is_note_id(a) or (a.tag in ("div", "section", "ol", "ul", "aside") and any(x in css for x in ("footnotes", "footnote-footer", "reflist"))):
-            return True
-    return False
+def _is_note_list(n: Node) -> bool:
+    css = n.get("class")
+    return _is_note_id(n) or (n.tag in ("div", "section", "ol", "ul", "aside") and any(x in css for x in ("footnotes", "footnote-footer", "reflist")))
 
 
-def _in_notes(node: Node) -> bool:
-    for a in (node, *node.ancestors()):
-        if a.kind != ELEMENT:
-            break
-        css = a.get("class")
-        if _is_note_id(a) or any(x in css for x in ("footnote", "reflist", "references")):
-            return True
-    return False
+def _is_note_part(n: Node) -> bool:
+    css = n.get("class")
+    return _is_note_id(n) or any(x in css for x in ("footnote", "reflist", "references"))
 
 
 def remove_hidden(root: Node, elements: list[Node], trace: Trace | None = None) -> None:
@@ -106,54 +97,49 @@ def remove_hidden(root: Node, elements: list[Node], trace: Trace | None = None)
     found = [n for n in elements if id(n) not in around and is_hidden(n)]
     for node in found:
         note(trace, node, "removeHiddenElements", None, "hidden element")
-    for node in found:
-        node.detach()
+    detach_all(found)
 
 
 def remove_partial(root: Node, elements: list[Node], trace: Trace | None = None, names: tuple[str, ...] = rules.PARTIAL_NAMES) -> None:
-    around, found, pattern = _around(root), [], rules.partial_pattern(names)
+    around, found, pattern, view = _around(root), [], rules.partial_pattern(names), Forest().view
+    top = view(root)
     for node in elements:
         if id(node) in around or not any(pattern.search(node.attrs[a].lower()) for a in rules.PARTIAL_ATTRIBUTES if a in node.attrs):
             continue
-        if _in_code(node) or _in_note_list(node) or node.tag == "pre" or node.elements("pre"):
+        v = view(node)
+        if v.within(_is_code) or v.within(_is_note_list) or v.count("pre"):
             continue
-        if node.inside(root) and scoring.is_article_metadata(node):
+        if v.inside(top) and scoring.is_article_metadata(v):
             continue
         found.append(node)
     for node in found:
         note(trace, node, "removeBySelector", None, "partial selector match")
-    for node in found:
-        node.detach()
+    detach_all(found)
 
 
 _SCORED = frozenset("div section article main aside header footer nav".split())
 
 
 def remove_low_scoring(root: Node, elements: list[Node], trace: Trace | None = None) -> None:
-    around, found, gone = _around(root), [], set()
+    around, found, view = _around(root), [], Forest().view
     for node in reversed(elements):
         if node.tag not in _SCORED or node is root or id(node) in around:
             continue
-        if any(id(a) in gone for a in node.ancestors()) or _in_code(node) or _in_notes(node):
-            continue
-        if scoring.is_likely_content(node):
+        v = view(node)
+        if v.within(_is_code) or v.within(_is_note_part) or scoring.is_likely_content(v):
             continue
         near = node.parent_element is not None and (node.parent is root or node.parent.parent_element is root)
-        if near and scoring.is_article_metadata(node):
+        if near and scoring.is_article_metadata(v):
             continue
-        value = scoring.clutter_score(node)
+        value = scoring.clutter_score(v)
         if value < 0:
             note(trace, node, "scoreAndRemove", None, f"score: {value:.1f}")
             found.append(node)
-            gone.add(id(node))
-    for node in found:
-        node.detach()
+    detach_all(found)
 
 
 def remove_images(root: Node) -> None:
-    for tag in ("img", "picture"):
-        for node in root.elements(tag):
-            node.detach()
+    detach_all(root.elements("img", "picture"))
 
 
 def remove_small_images(root: Node) -> None:

@@ -45,6 +45,9 @@ def _fence(text: str, least: int) -> str:
 
 
 class Converter:
+    def __init__(self):
+        self.listed: tuple[Node | None, dict[int, int]] = None, {}  # the last ordered list and the places of its items
+
     def children(self, n: Node) -> str:
         if n.tag == "code" or any(a.tag in ("code", "pre") for a in n.ancestors()):
             return "".join(map(self.node, n.children))
@@ -168,9 +171,10 @@ class Converter:
         up = n.parent_element
         if up is not None and up.tag == "ol":
             start = up.get("start")
-            row = [c for c in up.child_elements() if c.tag == "li"]
+            if up is not self.listed[0]:
+                self.listed = up, {id(c): k for k, c in enumerate(c for c in up.child_elements() if c.tag == "li")}
             first = integer(start.removeprefix("-")) if "+" not in start else None
-            number = (1 if first is None else -first if start[0] == "-" else first) + next(k for k, c in enumerate(row) if c is n)
+            number = (1 if first is None else -first if start[0] == "-" else first) + self.listed[1][id(n)]
             mark = f"{number}.  "
         else:
             mark = "*   "

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
-from ..functions.dom import Node, count_words, link_density, link_targets, trim
+from ..functions.dom import Node, count_words, detach_all, link_density, link_targets, trim
+from ..functions.index import Forest, View
 from .cleanup import Trace, note
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -32,23 +32,35 @@ PINNED = re.compile(r"(?i)\s*pinned\s*")
 DATED_CLASS = ("date", "time", "publish", "meta", "byline", "posted")
 
 
-@dataclass
-class Block:
+class Block(View):
     """An element with its text and number of words."""
 
-    node: Node
+    __slots__ = ()
 
-    def __post_init__(self):
-        self.text = self.node.text()
-        self.words = count_words(self.text)
-        self.flat = trim(self.text)
-        self.low = self.flat.lower()
+    @property
+    def flat(self) -> str:
+        return trim(self.text)
+
+    @property
+    def low(self) -> str:
+        return self.flat.lower()
 
     def any(self, *tags: str) -> bool:
-        return bool(self.node.elements(*tags))
+        return self.count(*tags) > 0
+
+
+class Page(Forest):
+    """The tree as it is now, with its blocks."""
+
+    def block(self, node: Node) -> Block:
+        v = self.view(node)
+        return Block(v.index, v.k, node)
 
+    def words(self, node: Node) -> int:
+        return self.view(node).words
 
-Pick = Callable[[Node], Iterator[Node]]
+
+Pick = Callable[[Page, Node], Iterator[Node]]
 
 
 def _below(*tags: str) -> Callable[[Node], list[Node]]:
@@ -64,13 +76,13 @@ def _children(part: slice, *tags: str, least: int = 0) -> Callable[[Node], list[
 
 
 def _each(elements: Callable[[Node], list[Node]], test: Callable[[Block], bool]) -> Pick:
-    def pick(root: Node) -> Iterator[Node]:
-        return (n for n in elements(root) if test(Block(n)))
+    def pick(page: Page, root: Node) -> Iterator[Node]:
+        return (n for n in elements(root) if test(page.block(n)))
 
     return pick
 
 
-def _related_headings(root: Node) -> Iterator[Node]:
+def _related_headings(page: Page, root: Node) -> Iterator[Node]:
     for tag in HEADINGS:
         for n in root.elements(tag):
             if RELATED.match(trim(n.text())):
@@ -81,27 +93,27 @@ def _related_headings(root: Node) -> Iterator[Node]:
                     yield after
 
 
-def _dated_parents(root: Node) -> Iterator[Node]:
+def _dated_parents(page: Page, root: Node) -> Iterator[Node]:
     for n in root.elements("time"):
         up = n.parent_element
-        if up is not None and up.tag in ("p", "div") and count_words(n.text()) <= 5 and count_words(up.text()) <= 8 and DATE.search(n.text()):
+        if up is not None and up.tag in ("p", "div") and page.words(n) <= 5 and page.words(up) <= 8 and DATE.search(n.text()):
             yield up
 
 
-def _banners(root: Node) -> Iterator[Node]:
+def _banners(page: Page, root: Node) -> Iterator[Node]:
     for n in root.child_elements():
         if n.tag in ("h1", "h2", "h3"):
             return
-        if n.tag == "a" and n.elements("div") and count_words(n.text()) <= 15:
+        if n.tag == "a" and page.words(n) <= 15 and n.elements("div"):
             yield n
 
 
-def _dates_by_title(root: Node) -> Iterator[Node]:
+def _dates_by_title(page: Page, root: Node) -> Iterator[Node]:
     row = root.child_elements()
     at = next((k for k, n in enumerate(row) if n.tag == "h1"), None)
     if at is not None:
         for n in row[max(0, at - 2) : at + 3]:
-            if n.tag == "div" and count_words(n.text()) <= 10 and DATE.search(n.text()):
+            if n.tag == "div" and page.words(n) <= 10 and DATE.search(n.text()):
                 yield n
 
 
@@ -115,7 +127,7 @@ def _standalone_date(b: Block) -> bool:
     return b.node.tag == "time" or _is_dated_class(b.node) or _is_dated_class(b.node.parent_element)
 
 
-def _facts(root: Node) -> Iterator[Node]:
+def _facts(page: Page, root: Node) -> Iterator[Node]:
     row = root.child_elements()
     edge = row[:3] + [n for n in row[-3:] if not any(n is x for x in row[:3])]
     for n in edge:
@@ -128,7 +140,7 @@ def _inner_links(*starts: str) -> Callable[[Block], bool]:
     return lambda b: b.words <= 20 and bool(h := link_targets(b.node)) and all(x.startswith(starts) for x in h)
 
 
-def _outer_lists(root: Node) -> Iterator[Node]:
+def _outer_lists(page: Page, root: Node) -> Iterator[Node]:
     row = root.child_elements()
     for k in range(max(1, len(row) - 4), len(row)):
         targets = link_targets(row[k])
@@ -143,12 +155,12 @@ def _mostly_links(b: Block) -> bool:
     return bool(row) and sum(link_density(p) > 0.5 for p in row) / len(row) > 0.5
 
 
-def _thin_tail(root: Node) -> Iterator[Node]:
-    row, total, thin = root.child_elements(), count_words(root.text()), 0
+def _thin_tail(page: Page, root: Node) -> Iterator[Node]:
+    row, total, thin = root.child_elements(), page.words(root), 0
     if len(row) < 3 or not total:
         return
     for n in reversed(row):
-        b = Block(n)
+        b = page.block(n)
         if b.words >= 25 or not b.any(*HEADINGS):
             return
         thin += b.words
@@ -158,8 +170,8 @@ def _thin_tail(root: Node) -> Iterator[Node]:
 
 
 def _newsletter(b: Block) -> bool:
-    low = b.text.lower()
-    return b.words <= 80 and any(x in low for x in ("subscribe", "sign up", "signup")) and any(x in low for x in ("newsletter", "email", "inbox"))
+    low = b.text.lower() if b.words <= 80 else ""
+    return any(x in low for x in ("subscribe", "sign up", "signup")) and any(x in low for x in ("newsletter", "email", "inbox"))
 
 
 def _contact(b: Block) -> bool:
@@ -187,11 +199,11 @@ _ALL, _LAST3, _LAST4, _FIRST3 = slice(None), slice(-3, None), slice(-4, None), s
 #: (reason, elements that go), in the order in which they run.
 RULES: tuple[tuple[str, Pick], ...] = (
     ("read time", _each(_below("p", "span", "div", "time"), lambda b: b.words <= 10 and bool(READ_TIME.search(b.text)))),
-    ("byline", _each(_below("p", "span", "div"), lambda b: len(b.text.encode()) <= 600 and b.words <= 15 and bool(BYLINE.match(b.flat)))),
+    ("byline", _each(_below("p", "span", "div"), lambda b: b.words <= 15 and len(b.text.encode()) <= 600 and bool(BYLINE.match(b.flat)))),
     ("boilerplate", _each(_below("p", "div", "span"), lambda b: b.words <= 30 and bool(BOILERPLATE.search(b.text)))),
     ("related heading", _related_headings),
     ("boundary time", _dated_parents),
-    ("trailing link list", _each(_children(_LAST3, "div", "section", "aside", least=2), lambda b: b.words < 100 and link_density(b.node) > 0.5)),
+    ("trailing link list", _each(_children(_LAST3, "div", "section", "aside", least=2), lambda b: b.words < 100 and b.link_density > 0.5)),
     ("hero header", _each(_children(_FIRST3, "div", "header", "section"), lambda b: b.words < 30 and b.any("h1") and b.any("time"))),
     ("breadcrumb list", _each(_children(_FIRST3, "ul", "ol", "nav"), _inner_links("/", "#", "."))),
     ("promotional banner", _banners),
@@ -206,8 +218,8 @@ RULES: tuple[tuple[str, Pick], ...] = (
     ("newsletter signup", _each(_below("div", "section", "aside", "form"), _newsletter)),
     ("author contact block", _each(_children(_LAST4, "div", "section", "aside", least=2), _contact)),
     ("author/share widget", _each(_below("div", "span", "aside", "section"), _widget)),
-    ("social counter", _each(_below("span", "div", "p", "li"), lambda b: bool(COUNTER.fullmatch(b.flat)))),
-    ("related intro paragraph", _each(_below("p"), lambda b: b.words <= 25 and bool(RELATED_INTRO.match(b.flat)) and link_density(b.node) > 0.3)),
+    ("social counter", _each(_below("span", "div", "p", "li"), lambda b: b.words <= 2 and bool(COUNTER.fullmatch(b.flat)))),
+    ("related intro paragraph", _each(_below("p"), lambda b: b.words <= 25 and bool(RELATED_INTRO.match(b.flat)) and b.link_density > 0.3)),
     ("related post card grid", _each(_children(_ALL, "div", "section"), _card_grid)),
     ("pinned label", _each(_below("span", "div", "p", "label"), lambda b: b.words <= 3 and bool(PINNED.fullmatch(b.text)))),
     ("timezone widget", _each(_below("div", "span", "p", "section"), lambda b: b.words <= 15 and bool(TIMEZONE.search(b.text)))),
@@ -215,14 +227,15 @@ RULES: tuple[tuple[str, Pick], ...] = (
 
 
 def remove_patterns(root: Node, trace: Trace | None = None) -> None:
+    page = Page()
     for reason, pick in RULES:
-        found = list(pick(root))
+        found = list(pick(page, root))
         for node in found:
             if not node.flag:
                 note(trace, node, "removeByContentPattern", None, reason)
             node.flag = False
-        for node in found:
-            node.detach()
+        if found:
+            detach_all(found)
 
 
 def remove_metadata_block(root: Node) -> None:

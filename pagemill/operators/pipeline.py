@@ -5,8 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 from ..functions.css import select, select_one
-from ..functions.dom import Node, count_words, outer_html, selector_path
+from ..functions.dom import Node, outer_html, selector_path
 from ..functions.htmlparse import parse_document
+from ..functions.index import Forest
 from ..functions.text import count_words_html, first_words
 from . import canonical, cleanup, footnotes, patterns, rules, scoring, standardize
 
@@ -108,9 +109,9 @@ def _unique_selector(doc: Node, n: Node) -> str:
 
 
 def _largest_hidden(page: Page) -> str | None:
-    best, most = None, 29
+    best, most, view = None, 29, Forest().view
     for n in page.parsed.elements():
-        if cleanup.is_hidden(n) and (size := count_words(n.text())) > most:
+        if cleanup.is_hidden(n) and (size := view(n).words) > most:
             best, most = n, size
     return _unique_selector(page.parsed, best) if best is not None else None
 
@@ -120,11 +121,11 @@ def _element_with(page: Page, text: str) -> str | None:
     start = first_words(text, 100)
     if not start:
         return None
-    least, best, size = count_words_html(text) * 4 // 5, None, None
+    least, best, size, view = count_words_html(text) * 4 // 5, None, None, Forest().view
     for n in page.parsed.elements():
-        own = n.text()
-        if start in own and count_words(own) >= least and (size is None or len(own.encode()) < size):
-            best, size = n, len(own.encode())
+        v = view(n)
+        if v.words >= least and v.holds(start) and (size is None or v.octets < size):
+            best, size = n, v.octets
     return _unique_selector(page.parsed, best) if best is not None else None
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 from ..functions.css import compiled, select, select_one
-from ..functions.dom import ELEMENT, Node, class_and_id, count_words, link_density, link_targets
+from ..functions.dom import Node, class_and_id, count_words
+from ..functions.index import Forest, View
 from ..functions.text import integer
 from . import rules
 
@@ -22,40 +22,40 @@ LOOSE_DATE = re.compile(rf"(?i)\d{{1,2}}[/\-]\d{{1,2}}[/\-]\d{{2,4}}|\b(?:{_MONT
 FULL_DATE = re.compile(rf"(?i)\b(?:(?:{_MONTHS})[a-z]*\s+\d{{1,2}},?\s+\d{{4}}|\d{{1,2}}(?:st|nd|rd|th)?\s+(?:{_MONTHS})[a-z]*,?\s+\d{{4}})\b")
 BYLINE = re.compile(r"\bBy\s+[A-Z]")
 AUTHOR = re.compile(r"(?i)\b(?:by|written by|author:)\s+[A-Za-z\s]+\b")
-META_LABEL = re.compile(r"(?i)^\s*(?:Authors?:?|By |Subjects?:|Keywords?:|Cite as:?|DOI:?|Published:?|Submitted:?|Date:?|Citation:?|Abstract:)")
+META_LABEL = re.compile(r"(?i)\s*(?:Authors?:?|By |Subjects?:|Keywords?:|Cite as:?|DOI:?|Published:?|Submitted:?|Date:?|Citation:?|Abstract:)")
 META_CLASS = re.compile(r"(?i)authors|citation|subjects|keywords|doi|submission")
 PROFILE = re.compile(r"(?i)\b(?:linkedin\.com/(?:in|company)/|twitter\.com/(?!intent\b)\w|x\.com/(?!intent\b)\w|facebook\.com/(?!share\b)\w|instagram\.com/\w|threads\.net/\w|mastodon\.\w)")
 NOTE_REF, NOTE_LIST = 'a[href^="#fn"], sup.reference', "ol.footnotes, div.footnotes"
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 STRUCTURE = frozenset("pre table figure picture code blockquote math mjx-container".split())
 
 
 _ref, _note = compiled(NOTE_REF), compiled(NOTE_LIST)
 
 
-@dataclass
-class Features:
-    """What scores need of an element, found in one walk."""
-
-    text: str
-    tags: dict[str, int]
-    structure: bool
-    refs: bool
-    lists: bool
-
-    @classmethod
-    def of(cls, node: Node) -> Features:
-        tags: dict[str, int] = {}
-        parts, structure, refs, lists = [], False, False, False
-        for n in node.walk():
-            if n.kind == ELEMENT:
-                tag, css = n.tag, n.attrs.get("class", "")
-                tags[tag] = tags.get(tag, 0) + 1
-                structure = structure or tag in STRUCTURE or (css != "" and ("katex" in css or "MathJax" in css))
-                refs = refs or (tag in ("a", "sup") and _ref(n))
-                lists = lists or (tag in ("ol", "div") and css != "" and _note(n))
-            elif n.data and n.kind == 2:
-                parts.append(n.data)
-        return cls("".join(parts), tags, structure, refs, lists)
+def _structured(n: Node) -> bool:
+    css = n.attrs.get("class", "")
+    return n.tag in STRUCTURE or (css != "" and ("katex" in css or "MathJax" in css))
+
+
+def _is_ref(n: Node) -> bool:
+    return n.tag in ("a", "sup") and _ref(n)
+
+
+def _is_note_list(n: Node) -> bool:
+    return n.tag in ("ol", "div") and _note(n)
+
+
+def _is_main(n: Node) -> bool:
+    return n.tag in ("main", "article")
+
+
+def _is_nav_heading(n: Node) -> bool:
+    return n.tag in HEADINGS and NAV_WORDS.search(n.text()) is not None
+
+
+def _is_profile_link(n: Node) -> bool:
+    return n.tag == "a" and "href" in n.attrs and PROFILE.search(n.attrs["href"]) is not None
 
 
 def is_layout_cell(node: Node) -> bool:
@@ -76,102 +76,85 @@ def is_right_aligned(node: Node) -> bool:
     return node.get("align").lower() == "right" or any(x in style for x in ("float:right", "float: right", "text-align:right", "text-align: right"))
 
 
-def score(node: Node) -> float:
+def score(v: View) -> float:
     """How much the element looks like main content."""
-    f = Features.of(node)
-    words = count_words(f.text)
-    value = words + 10.0 * f.tags.get("p", 0) + f.text.count(",") - 3.0 * (f.tags.get("img", 0) / max(words, 1))
-    if CONTENT_CLASS.search(class_and_id(node)):
+    text, words = v.text, v.words
+    value = words + 10.0 * v.count("p") + v.commas - 3.0 * (v.count("img") / max(words, 1))
+    if CONTENT_CLASS.search(class_and_id(v.node)):
         value += 15
-    value *= 1 - min(link_density(node, f.text), 0.5)
-    value += 5 * is_right_aligned(node) + 10 * bool(FULL_DATE.search(f.text)) + 10 * bool(AUTHOR.search(f.text))
-    return value + 10 * f.refs + 10 * f.lists - 5 * f.tags.get("table", 0) + 10 * is_layout_cell(node)
-
-
-def is_article_metadata(node: Node) -> bool:
-    return bool(META_CLASS.search(class_and_id(node)) or META_LABEL.search(node.text()))
-
+    value *= 1 - min(v.link_density, 0.5)
+    value += 5 * is_right_aligned(v.node) + 10 * bool(FULL_DATE.search(text)) + 10 * bool(AUTHOR.search(text))
+    return value + 10 * v.below(_is_ref) + 10 * v.below(_is_note_list) - 5 * v.count("table") + 10 * is_layout_cell(v.node)
 
-def in_article(node: Node) -> bool:
-    return any(a.tag in ("main", "article") for a in node.ancestors())
 
+def is_article_metadata(v: View) -> bool:
+    return bool(META_CLASS.search(class_and_id(v.node))) or v.matches(META_LABEL)
 
-def has_nav_heading(node: Node) -> bool:
-    return any(NAV_WORDS.search(h.text()) for h in node.elements("h1", "h2", "h3", "h4", "h5", "h6"))
 
-
-def is_card_grid(node: Node, total: int | None = None) -> bool:
-    total = count_words(node.text()) if total is None else total
-    if not 3 <= total < 500:
-        return False
-    headings = node.elements("h2", "h3", "h4")
-    if len(headings) < 3 or len(node.elements("img")) < 2:
+def is_card_grid(v: View, total: int) -> bool:
+    if not 3 <= total < 500 or v.count("h2", "h3", "h4") < 3 or v.count("img") < 2:
         return False
+    headings = v.node.elements("h2", "h3", "h4")
     prose = max(0, total - sum(count_words(h.text()) for h in headings))
     return prose / len(headings) < 20
 
 
-def has_profile_links(node: Node) -> bool:
-    return any(PROFILE.search(h) for h in link_targets(node))
-
-
-def is_likely_content(node: Node) -> bool:
+def is_likely_content(v: View) -> bool:
+    node = v.node
     if node.get("role") in ("article", "main", "contentinfo") or LIKELY_CLASS.search(class_and_id(node)):
         return True
-    if in_article(node) and is_article_metadata(node):
+    if v.above(_is_main) and is_article_metadata(v):
         return True
-    f = Features.of(node)
-    if f.structure:
+    if v.below(_structured):
         return True
-    words = count_words(f.text)
-    if words < 1000 and has_nav_heading(node) and (words < 200 or link_density(node, f.text) > 0.2):
+    words = v.words
+    if words < 1000 and v.below(_is_nav_heading) and (words < 200 or v.link_density > 0.2):
         return False
-    if is_card_grid(node, words) or (words < 80 and has_profile_links(node)):
+    if is_card_grid(v, words) or (words < 80 and v.below(_is_profile_link)):
         return False
-    blocks = f.tags.get("p", 0) + f.tags.get("li", 0)
+    blocks = v.count("p", "li")
     if words > 100 or (words > 30 and blocks > 0) or (words > 50 and blocks > 1):
         return True
-    return words >= 10 and any(c in f.text for c in ".!?") and link_density(node, f.text) < 0.1
+    return words >= 10 and v.link_density < 0.1 and any(c in v.text for c in ".!?")
 
 
-def clutter_score(node: Node) -> float:
+def clutter_score(v: View) -> float:
     """Below 0 for elements that look like clutter."""
-    if _note(node) or any(a.kind == ELEMENT and _note(a) for a in node.ancestors()):
+    if v.within(_is_note_list):
         return 0.0
-    f = Features.of(node)
-    words = count_words(f.text)
-    if f.lists or words < 3:
+    words = v.words
+    if words < 3 or v.below(_is_note_list):
         return 0.0
-    density, links = link_density(node, f.text), f.tags.get("a", 0)
-    value = float(f.text.count(",")) - 10 * len(NAV_WORDS.findall(f.text))
+    text, density, links = v.text, v.link_density, v.count("a")
+    value = float(v.commas) - 10 * len(NAV_WORDS.findall(text))
     value -= 15 * (density > 0.5) + 15 * (links > 1 and words < 80 and density > 0.8)
-    value -= 8 * len(CLUTTER_CLASS.findall(class_and_id(node)))
-    value -= 10 * bool(words < 15 and BYLINE.search(f.text) and LOOSE_DATE.search(f.text))
-    lists = f.tags.get("ul", 0) + f.tags.get("ol", 0)
+    value -= 8 * len(CLUTTER_CLASS.findall(class_and_id(v.node)))
+    value -= 10 * bool(words < 15 and BYLINE.search(text) and LOOSE_DATE.search(text))
+    lists = v.count("ul", "ol")
     value -= 10 * (lists > 0 and links > 3 * lists)
-    value -= 15 * (words < 80 and has_profile_links(node)) + 15 * is_card_grid(node, words)
-    if words < 50 and in_article(node) and is_article_metadata(node):
+    value -= 15 * (words < 80 and v.below(_is_profile_link)) + 15 * is_card_grid(v, words)
+    if words < 50 and v.above(_is_main) and is_article_metadata(v):
         value += 20
     return value
 
 
 def find_root(doc: Node) -> Node:
     """The element that holds the main content."""
-    total = len(rules.ENTRY_POINTS)
+    total, view = len(rules.ENTRY_POINTS), Forest().view
     ranked: list[tuple[float, int, Node]] = []
     for k, selector in enumerate(rules.ENTRY_POINTS):
-        ranked += [((total - k) * 40.0 + score(n), k, n) for n in select(doc, selector)]
+        ranked += [((total - k) * 40.0 + score(view(n)), k, n) for n in select(doc, selector)]
     body = select_one(doc, "body")
     if all(k == total - 1 for _, k, _ in ranked):
         best, top = None, float("-inf")
         for n in doc.elements("div", "section", "article", "main"):
-            value = score(n)
+            value = score(view(n))
             if value > top:
                 best, top = n, value
         return best or body or doc
     ranked.sort(key=lambda c: -c[0])
     _, k, best = ranked[0]
     for _, other, node in ranked[1:]:
-        if other < k and node.inside(best) and count_words(node.text()) > 50:
+        if other < k and node.inside(best) and view(node).words > 50:
             return node
     return best

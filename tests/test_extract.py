@@ -8,6 +8,7 @@ from pagemill.operators.pipeline import Options
 from pagemill.functions.css import select, select_one
 from pagemill.functions.dom import inner_html, outer_html
 from pagemill.functions.htmlparse import parse_document
+from pagemill.functions.index import Forest
 
 PROSE = "The quick brown fox jumps over the lazy dog, and then it rests. " * 20
 
@@ -60,7 +61,7 @@ def test_root_choice():
     assert scoring.find_root(doc).classes == ["post-content"]
     doc = parse_document(page(f"<div><p>few</p></div><div id=b><p>{PROSE}</p></div>"))
     assert scoring.find_root(doc).get("id") == "b"
-    assert scoring.clutter_score(root("<div class=sidebar-menu><a href=a>Share this page</a> <a href=b>Subscribe now</a></div>")) < 0
+    assert scoring.clutter_score(Forest().view(root("<div class=sidebar-menu><a href=a>Share this page</a> <a href=b>Subscribe now</a></div>"))) < 0
 
 
 def test_patterns():
