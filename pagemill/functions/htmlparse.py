@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterable
 from html.entities import html5 as _NAMED
 
 from .dom import COMMENT, DOCUMENT, ELEMENT, TEXT, Node
@@ -88,10 +90,43 @@ def _text(raw: str) -> str:
     return _ref(raw) if "&" in raw else raw
 
 
+#: Fixed value: what is nested deeper becomes siblings, in document order, as browsers do it.
+MAX_DEPTH = 512
+
+
+class _Open(list):
+    """The stack of open elements, with the number of open elements of each tag."""
+
+    __slots__ = ("tags",)
+
+    def __init__(self, nodes: Iterable[Node] = ()):
+        super().__init__(nodes)
+        self.tags = Counter(n.tag for n in self)
+
+    def append(self, node: Node) -> None:
+        super().append(node)
+        self.tags[node.tag] += 1
+
+    def insert(self, at: int, node: Node) -> None:
+        super().insert(at, node)
+        self.tags[node.tag] += 1
+
+    def pop(self) -> Node:
+        node = super().pop()
+        self.tags[node.tag] -= 1
+        return node
+
+    def __delitem__(self, at: int | slice) -> None:
+        gone = self[at]
+        super().__delitem__(at)
+        for n in gone if isinstance(gone, list) else [gone]:
+            self.tags[n.tag] -= 1
+
+
 class Builder:
     def __init__(self, fragment: bool = False):
         self.doc = Node(DOCUMENT)
-        self.stack: list[Node] = []
+        self.stack = _Open()
         self.active: list[Node | None] = []  # formatting elements; None is a marker
         self.head: Node | None = None
         self.form: Node | None = None
@@ -110,6 +145,8 @@ class Builder:
 
     def place(self) -> tuple[Node, int]:
         target = self.stack[-1]
+        if len(self.stack) > MAX_DEPTH and target.parent is not None and target.tag not in _RAWTEXT and target.tag not in _RCDATA:
+            return target.parent, len(target.parent.children)
         if self.foster and target.tag in ("table", "tbody", "tfoot", "thead", "tr"):
             for k in range(len(self.stack) - 1, -1, -1):
                 n = self.stack[k]
@@ -154,6 +191,8 @@ class Builder:
 
     # -- scopes --------------------------------------------------------
     def in_scope(self, tags, extra=()) -> bool:
+        if not any(self.stack.tags[t] for t in tags):
+            return False
         for n in reversed(self.stack):
             if n.ns == "html" and n.tag in tags:
                 return True
@@ -162,6 +201,8 @@ class Builder:
         return False
 
     def in_table_scope(self, tags) -> bool:
+        if not any(self.stack.tags[t] for t in tags):
+            return False
         for n in reversed(self.stack):
             if n.tag in tags:
                 return True
@@ -273,7 +314,7 @@ class Builder:
                 last.detach()
             if common.tag in ("table", "tbody", "tfoot", "thead", "tr"):
                 keep, self.foster = self.foster, True
-                saved, self.stack = self.stack, self.stack[: next(i for i, n in enumerate(self.stack) if n is common) + 1]
+                saved, self.stack = self.stack, _Open(self.stack[: next(i for i, n in enumerate(self.stack) if n is common) + 1])
                 parent, where = self.place()
                 self.stack, self.foster = saved, keep
                 parent.insert(where, last)
@@ -286,10 +327,12 @@ class Builder:
             old = next(i for i, n in enumerate(self.active) if n is fmt)
             del self.active[old]
             self.active.insert(mark - (old < mark), twin)
-            self.stack = [n for n in self.stack if n is not fmt]
+            self.stack = _Open(n for n in self.stack if n is not fmt)
             self.stack.insert(next(i for i, n in enumerate(self.stack) if n is block) + 1, twin)
 
     def any_end(self, tag: str) -> None:
+        if not self.stack.tags[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             n = self.stack[k]
             if n.tag == tag and n.ns == "html":
@@ -415,7 +458,7 @@ class Builder:
             if tag in _HEAD_TAGS:
                 self.stack.append(self.head)
                 self._head_tag(tag, attrs)
-                self.stack = [n for n in self.stack if n is not self.head]
+                self.stack = _Open(n for n in self.stack if n is not self.head)
                 return
             if tag == "head":
                 return
@@ -514,7 +557,7 @@ class Builder:
                 if n.tag == "a":
                     self.adopt("a")
                     self._forget(n)
-                    self.stack = [x for x in self.stack if x is not n]
+                    self.stack = _Open(x for x in self.stack if x is not n)
                     break
             self.reconstruct()
             self.add_formatting(self.push(tag, attrs))
@@ -849,7 +892,7 @@ class Builder:
             node, self.form = self.form, None
             if node is not None and any(n is node for n in self.stack) and self.in_scope(("form",)):
                 self.imply()
-                self.stack = [n for n in self.stack if n is not node]
+                self.stack = _Open(n for n in self.stack if n is not node)
         elif tag in ("li", "dd", "dt"):
             if self.in_scope((tag,), ("ol", "ul") if tag == "li" else ()):
                 self.imply(tag)

@@ -6,6 +6,7 @@ import re
 
 from ..functions.dom import ELEMENT, TEXT, Node, trim
 from ..functions.htmlparse import parse_document
+from ..functions.index import Forest
 from ..functions.text import integer
 
 #: Elements that stand on lines of their own.
@@ -44,12 +45,25 @@ def _fence(text: str, least: int) -> str:
     return "`" * max(least, max(runs, default=0) + 1)
 
 
+def _is_code(n: Node) -> bool:
+    return n.tag in ("code", "pre")
+
+
+def _is_pre(n: Node) -> bool:
+    return n.tag == "pre"
+
+
+def _is_math(n: Node) -> bool:
+    return n.tag == "math"
+
+
 class Converter:
     def __init__(self):
+        self.view = Forest().view  # the tree stays as it is
         self.listed: tuple[Node | None, dict[int, int]] = None, {}  # the last ordered list and the places of its items
 
     def children(self, n: Node) -> str:
-        if n.tag == "code" or any(a.tag in ("code", "pre") for a in n.ancestors()):
+        if n.tag == "code" or self.view(n).above(_is_code):
             return "".join(map(self.node, n.children))
         out = ""
         for k, c in enumerate(n.children):
@@ -84,9 +98,10 @@ class Converter:
         return handler(n) if handler else self.plain(n)
 
     def text(self, n: Node) -> str:
-        if any(a.tag in ("code", "pre") for a in n.ancestors()):
+        up = self.view(n.parent)
+        if up.within(_is_code):
             return n.data
-        return _escape(_SPACE.sub(" ", n.data), at_start=not any(a.tag == "math" for a in n.ancestors()))
+        return _escape(_SPACE.sub(" ", n.data), at_start=not up.within(_is_math))
 
     def block(self, n: Node) -> str:
         content = self.lines(n)
@@ -131,7 +146,7 @@ class Converter:
 
     def _code(self, n: Node) -> str:
         content = self.children(n)
-        if any(a.tag == "pre" for a in n.ancestors()):
+        if self.view(n).above(_is_pre):
             return content
         content = content.strip()
         if not content:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 
 from ..functions import urls
-from ..functions.dom import Node, inner_html, trim, words
+from ..functions.dom import Node, detach_all, inner_html, trim, words
 from ..functions.htmlparse import parse_fragment
+from ..functions.index import Forest
 
 #: Attributes that stay, elements that may be empty, and what is unsafe.
 ATTRIBUTES = frozenset(
@@ -51,16 +52,15 @@ def srcset_parts(value: str) -> list[str]:
     return out + ([value[start:]] if start < len(value) else [])
 
 
-def _in_svg(n: Node) -> bool:
-    return any(a.tag == "svg" for a in n.ancestors())
+def _is_svg(n: Node) -> bool:
+    return n.tag == "svg"
 
 
 def remove_unsafe(doc: Node) -> None:
-    for tag in UNSAFE:
-        for n in doc.elements(tag):
-            n.detach()
+    detach_all(doc.elements(*UNSAFE))
+    view = Forest().view
     for n in doc.elements():
-        if n.tag == "style" and _in_svg(n):
+        if n.tag == "style" and view(n).above(_is_svg):
             continue
         for name in list(n.attrs):
             if name.startswith("on") or name == "srcdoc" or (name in URL_ATTRIBUTES and is_unsafe_uri(n.attrs[name])):
@@ -70,8 +70,9 @@ def remove_unsafe(doc: Node) -> None:
 
 
 def clean_attributes(root: Node) -> None:
+    view = Forest().view
     for n in root.elements():
-        if n.tag not in SVG_PARTS and not _in_svg(n):
+        if n.tag not in SVG_PARTS and not view(n).above(_is_svg):
             n.attrs = {k: v for k, v in n.attrs.items() if k in ATTRIBUTES}
 
 
@@ -85,11 +86,9 @@ def _is_empty(n: Node) -> bool:
 
 
 def standardize_content(root: Node) -> None:
-    for n in root.elements("wbr"):
-        n.detach()
+    detach_all(root.elements("wbr"))
     clean_attributes(root)
-    for n in [n for n in root.elements() if _is_empty(n)]:
-        n.detach()
+    detach_all([n for n in root.elements() if _is_empty(n)])
     for n in root.elements("h1")[1:]:
         n.tag = "h2"
     _unwrap_divs(root)
@@ -97,12 +96,12 @@ def standardize_content(root: Node) -> None:
 
 def _unwrap_divs(root: Node) -> None:
     """A div around one block and nothing else goes."""
-    found = []
+    found, view = [], Forest().view
     for n in root.elements("div"):
         row = n.child_elements()
         if n.get("id") == "footnotes" or n.get("id").startswith("fn:") or len(row) != 1 or row[0].tag not in BLOCKS:
             continue
-        if len(trim(n.text()).encode()) == len(trim(row[0].text()).encode()):
+        if view(n).size == view(row[0]).size:
             found.append(n)
     for n in reversed(found):
         n.unwrap()
