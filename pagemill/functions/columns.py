@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dom import WHITE as WHITE_CHARS
 from .text import ENTITIES
 
 #: CJK ranges (each character a word) and Unicode white space, as regular-expression classes.
@@ -30,11 +31,17 @@ def decode_entities(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[{CJK}]|[^{WHITE}{CJK}]+"))
+    """Runs of non-space characters; each CJK character is a word.
+
+    Most texts have no space beyond ASCII and no character from U+1680 on; a simple class, which is
+    several times faster, counts the same words there.
+    """
+    rare = F.regexp_like(text, F.lit(r"[\x{85}\x{A0}\x{1680}-\x{10FFFF}]"))
+    return F.when(rare, F.regexp_count(text, F.lit(f"[{CJK}]|[^{WHITE}{CJK}]+"))).otherwise(F.regexp_count(text, F.lit(r"[^\x09-\x0D\x20]+")))
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{WHITE}]+|[{WHITE}]+\z", "")
+    return F.trim(text, F.lit(WHITE_CHARS))
 
 
 def non_empty(text: Column) -> Column:
@@ -52,13 +59,17 @@ def collapse(text: Column) -> Column:
 
 
 def preview(text: Column, limit: int = 80) -> Column:
-    """White space collapsed, cut at ``limit`` characters."""
-    flat = collapse(text)
-    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit), F.lit("..."))).otherwise(flat)
+    """White space collapsed, cut at ``limit`` characters.
+
+    Where the beginning of the text already has more than ``limit``, the rest is not looked at.
+    """
+    flat, start = collapse(text), collapse(F.substring(text, 1, 4 * limit))
+    cut = lambda t: F.concat(F.substring(t, 1, limit), F.lit("..."))
+    return F.when(F.length(start) > limit, cut(start)).when(F.length(flat) > limit, cut(flat)).otherwise(flat)
 
 
 def first_paragraph(text: Column, limit: int = 100) -> Column:
-    return F.substring(trim(F.split_part(trim(text), F.lit("\n\n"), F.lit(1))), 1, limit)
+    return F.substring(trim(F.substring_index(trim(text), "\n\n", 1)), 1, limit)
 
 
 def count_commas(text: Column) -> Column:
@@ -69,19 +80,18 @@ def iso_date(text: Column) -> Column:
     """``YYYY-MM-DD``, ``Month D, YYYY`` or ``D Month YYYY`` as ``YYYY-MM-DD``; plausible numbers, no calendar check."""
     names = "|".join(MONTHS)
     month = F.create_map(*[x for k, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(f"{k:02}"))])
-
-    def made(year: Column, month_no: Column, day: Column) -> Column:
-        d, y, m = day.try_cast("int"), year.try_cast("int"), month_no.try_cast("int")
-        good = d.between(1, 31) & y.between(1900, 2100) & m.between(1, 12)
-        return F.when(good, F.concat(year, F.lit("-"), month_no, F.lit("-"), F.lpad(day, 2, "0")))
-
-    part = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
-    iso, english, plain = r"\A(\d{4})-(\d{2})-(\d{2})\z", rf"\A({names})\s*,?\s*(\d{{1,2}}),?\s+(\d{{4}})", rf"\A(\d{{1,2}})\s+({names})\s+(\d{{4}})"
-    return F.coalesce(
-        made(part(iso, 1), part(iso, 2), part(iso, 3)),
-        made(part(english, 3), F.try_element_at(month, part(english, 1)), part(english, 2)),
-        made(part(plain, 3), F.try_element_at(month, part(plain, 2)), part(plain, 1)),
-    )
+    iso, english, plain = r"\A\d{4}-\d{2}-\d{2}\z", rf"(?s)\A({names})\s*,?\s*(\d{{1,2}}),?\s+(\d{{4}}).*", rf"(?s)\A(\d{{1,2}})\s+({names})\s+(\d{{4}}).*"
+    shaped = F.when(F.regexp_like(text, F.lit(iso)), text)
+    shaped = shaped.when(F.regexp_like(text, F.lit(english)), F.regexp_replace(text, english, "$3-$1-$2"))
+    shaped = shaped.when(F.regexp_like(text, F.lit(plain)), F.regexp_replace(text, plain, "$3-$2-$1"))
+
+    def made(parts: Column) -> Column:
+        year, day = parts[0], F.lpad(parts[2], 2, "0")
+        number = F.coalesce(F.try_element_at(month, parts[1]), parts[1])
+        good = day.cast("int").between(1, 31) & year.cast("int").between(1900, 2100) & number.cast("int").between(1, 12)
+        return F.when(good, F.concat_ws("-", year, number, day))
+
+    return F.get(F.transform(F.array(F.split(shaped, "-")), made), F.lit(0))  # the parts are made once
 
 
 def unix_day(seconds: Column) -> Column:

@@ -51,7 +51,7 @@ class Index:
         self._spans: tuple[list[int], list[int]] | None = None
         self._octets: list[int] | None = None
         self._links: tuple[list[int], list[int]] | None = None
-        self._commas: list[int] | None = None
+        self._places: dict[re.Pattern, list[int]] = {}
         self._tags: dict[str, list[int]] | None = None
 
     def spans(self) -> tuple[list[int], list[int]]:
@@ -99,10 +99,11 @@ class Index:
             self._links = places, [0, *accumulate(self.size(k) for k in places)]
         return self._links
 
-    def commas(self) -> list[int]:
-        if self._commas is None:
-            self._commas = [m.start() for m in re.finditer(",", self.text)]
-        return self._commas
+    def places(self, pattern: re.Pattern) -> list[int]:
+        """Where in the text a pattern is found."""
+        if pattern not in self._places:
+            self._places[pattern] = [m.start() for m in pattern.finditer(self.text)]
+        return self._places[pattern]
 
     def hits(self, test: Test) -> list[int]:
         """Places of the elements that pass a test."""
@@ -149,11 +150,15 @@ class View:
     def holds(self, part: str) -> bool:
         return self.index.text.find(part, self.index.start[self.k], self.index.stop[self.k]) >= 0
 
-    @property
-    def commas(self) -> int:
-        found = self.index.commas()
+    def marks(self, pattern: re.Pattern) -> int:
+        """How often a pattern is found that starts in the text below."""
+        found = self.index.places(pattern)
         return bisect_left(found, self.index.stop[self.k]) - bisect_left(found, self.index.start[self.k])
 
+    def finds(self, pattern: re.Pattern, part: re.Pattern) -> bool:
+        """Whether a pattern is found in the text; ``part`` is found wherever it is, so that most texts are not searched."""
+        return self.marks(part) > 0 and pattern.search(self.text) is not None
+
     def matches(self, pattern: re.Pattern) -> bool:
         """Whether the text starts with a pattern that looks at nothing around it."""
         return pattern.match(self.index.text, self.index.start[self.k], self.index.stop[self.k]) is not None

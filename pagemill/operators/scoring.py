@@ -26,6 +26,8 @@ META_LABEL = re.compile(r"(?i)\s*(?:Authors?:?|By |Subjects?:|Keywords?:|Cite as
 META_CLASS = re.compile(r"(?i)authors|citation|subjects|keywords|doi|submission")
 PROFILE = re.compile(r"(?i)\b(?:linkedin\.com/(?:in|company)/|twitter\.com/(?!intent\b)\w|x\.com/(?!intent\b)\w|facebook\.com/(?!share\b)\w|instagram\.com/\w|threads\.net/\w|mastodon\.\w)")
 NOTE_REF, NOTE_LIST = 'a[href^="#fn"], sup.reference', "ol.footnotes, div.footnotes"
+#: Parts of texts that numbers, dates and bylines have.
+_COMMA, _DIGIT, _BY = re.compile(","), re.compile(r"\d"), re.compile(r"(?i)(?:by|author:)\s")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 STRUCTURE = frozenset("pre table figure picture code blockquote math mjx-container".split())
 
@@ -78,12 +80,12 @@ def is_right_aligned(node: Node) -> bool:
 
 def score(v: View) -> float:
     """How much the element looks like main content."""
-    text, words = v.text, v.words
-    value = words + 10.0 * v.count("p") + v.commas - 3.0 * (v.count("img") / max(words, 1))
+    words = v.words
+    value = words + 10.0 * v.count("p") + v.marks(_COMMA) - 3.0 * (v.count("img") / max(words, 1))
     if CONTENT_CLASS.search(class_and_id(v.node)):
         value += 15
     value *= 1 - min(v.link_density, 0.5)
-    value += 5 * is_right_aligned(v.node) + 10 * bool(FULL_DATE.search(text)) + 10 * bool(AUTHOR.search(text))
+    value += 5 * is_right_aligned(v.node) + 10 * v.finds(FULL_DATE, _DIGIT) + 10 * v.finds(AUTHOR, _BY)
     return value + 10 * v.below(_is_ref) + 10 * v.below(_is_note_list) - 5 * v.count("table") + 10 * is_layout_cell(v.node)
 
 
@@ -126,7 +128,7 @@ def clutter_score(v: View) -> float:
     if words < 3 or v.below(_is_note_list):
         return 0.0
     text, density, links = v.text, v.link_density, v.count("a")
-    value = float(v.commas) - 10 * len(NAV_WORDS.findall(text))
+    value = float(v.marks(_COMMA)) - 10 * len(NAV_WORDS.findall(text))
     value -= 15 * (density > 0.5) + 15 * (links > 1 and words < 80 and density > 0.8)
     value -= 8 * len(CLUTTER_CLASS.findall(class_and_id(v.node)))
     value -= 10 * bool(words < 15 and BYLINE.search(text) and LOOSE_DATE.search(text))

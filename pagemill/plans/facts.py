@@ -67,11 +67,19 @@ def facts(html: pa.Array) -> pa.Array:
     return pa.array([facts_row(h) for h in html.to_pylist()], type=_ARROW)
 
 
+def _schema_text(schema: Column, path: str) -> Column:
+    """The first non-blank string at a path of the object, or of the objects of the list."""
+    data = F.try_parse_json(schema)
+    items = F.coalesce(F.try_variant_get(data, "$", "array<variant>"), F.array(data))
+    found = F.transform(items, lambda x: columns.non_empty(F.try_variant_get(x, f"$.{path}", "string")))
+    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+
 def source(spec: str, meta: Column, schema: Column) -> Column:
     """One source of a chain, as in :data:`pagemill.operators.metadata.SOURCES`; blank is null."""
     kind, name = spec.split(":", 1)
     if kind == "s":
-        return columns.non_empty(F.try_variant_get(F.try_parse_json(schema), f"$.{name}", "string"))
+        return _schema_text(schema, name)
     if kind == "d":
         return F.coalesce(*[F.nullif(F.try_element_at(meta, F.lit(f"name={p}{name}")), F.lit("")) for p in DUBLIN])
     key = {"p": "property", "n": "name", "h": "http-equiv"}[kind]
@@ -85,8 +93,8 @@ def chain(field: str, meta: Column, schema: Column) -> Column:
 def page_metadata(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
     """``pages`` without the HTML, with the fields that are chains of plain sources.
 
-    Schema.org paths are read from single objects here; lists of objects, titles without their site's
-    name and authors marked in the text are the work of :func:`pagemill.operators.extract.extract`.
+    Titles without their site's name and authors marked in the text are the work of
+    :func:`pagemill.operators.extract.extract`.  ``error`` says why a page has no facts.
     """
     rows = pages.withColumn("__facts", facts(F.col(html_col))).drop(html_col)
     meta, schema, url = F.col("__facts.meta"), F.col("__facts.schema"), F.col(url_col)
@@ -107,6 +115,7 @@ def page_metadata(pages: DataFrame, html_col: str = "html", url_col: str = "url"
             "favicon": icon,
             "canonical_url": F.coalesce(F.col("__facts.canonical"), source("p:og:url", meta, schema)),
             "keywords": columns.keywords(chain("keywords", meta, schema)),
+            "error": F.col("__facts.error"),
             "content_type": F.coalesce(chain("content_type", meta, schema), source("s:@type", meta, schema)),
         }
     ).drop("__facts")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from http.client import HTTPException
 from urllib.error import HTTPError, URLError
 from urllib.request import Request, urlopen
 
@@ -25,15 +26,23 @@ class FetchError(Exception):
     reason: str = ""
 
 
+def _decoded(body: bytes, charset: str | None) -> str:
+    """Text of an answer; a charset that nobody knows counts as UTF-8."""
+    try:
+        return body.decode(charset or "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def fetch_page(url: str, timeout: float = PAGE_SECONDS, agent: str = BROWSER, headers: dict[str, str] | None = None) -> str:
     try:
         with urlopen(Request(url, headers={"User-Agent": agent, **(headers or {})}), timeout=timeout) as answer:  # noqa: S310
             if answer.status != 200:
                 raise FetchError(url, answer.status)
-            return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+            return _decoded(answer.read(), answer.headers.get_content_charset())
     except HTTPError as e:
         raise FetchError(url, e.code, str(e.reason)) from e
-    except (URLError, OSError, ValueError) as e:
+    except (URLError, HTTPException, OSError, ValueError) as e:
         raise FetchError(url, None, str(e)) from e
 
 

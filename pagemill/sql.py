@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions import text
+from .functions import dom, text
 from .operators import extractors, gfm, markdown
 from .operators.extract import ARROW_RESULT, RESULT, result_row
 from .operators.pipeline import Options
@@ -18,6 +18,7 @@ _SCALARS = {
     "strip_html_tags": (text.strip_html_tags, T.StringType(), pa.string()),
     "decode_html_entities": (text.decode_entities, T.StringType(), pa.string()),
     "count_html_words": (text.count_words_html, T.LongType(), pa.int64()),
+    "count_words": (dom.count_words, T.LongType(), pa.int64()),
     "prepare_html": (text.prepare, T.StringType(), pa.string()),
     "html_to_markdown": (markdown.to_markdown, T.StringType(), pa.string()),
     "bbcode_to_html": (extractors.bbcode_to_html, T.StringType(), pa.string()),
