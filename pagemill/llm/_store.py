@@ -1,34 +1,10 @@
-"""Intermediate tables in the folder that all machines of the cluster share.
-
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir``: the files
-survive lost executors, keep column pruning and compress.  Only where the setting
-is missing (tests, a laptop) a folder of this library's own is set.
-"""
+"""Where intermediate tables and public vocabularies are."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-#: Used, and stored in the session, only where spark.checkpoint.dir is unset.
-OWN_DIR = "file:///tmp/checkpoints/pagemill"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder (a path or URL, not yet made) below the shared one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = OWN_DIR
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pagemill-{uuid.uuid4().hex}"
-
+from pagemill.sources.shared import Scratch, clean, shared_dir, stored
 
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """``df`` written once and read back; nothing above it is computed again."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["Scratch", "clean", "shared_dir", "stored", "tokenizer_path"]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

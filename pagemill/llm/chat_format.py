@@ -111,8 +111,8 @@ class Formatter:
                 out += [(t.other[0] + self.escape(role) + t.other[1], False), (self.escape(text), False), (t.other[2], False)]
         return out
 
-    def read_back(self, formatted: str) -> list[tuple[str, str, bool]]:
-        """Turns (role, text, loss) of a formatted conversation."""
+    def read_back(self, formatted: str) -> list[tuple[str, str]]:
+        """Turns (role, text) of a formatted conversation."""
         t = self.template
         opens, out = {x.open: (role, x) for role, x in t.roles.items()}, []
         marks = [(m.start(), m.end(), m[1]) for m in self._control.finditer(formatted) if m[1]]
@@ -123,13 +123,13 @@ class Formatter:
             _, end, mark = marks[k]
             if mark in opens:
                 (role, turn), k = opens[mark], k + 1
-                text, want, loss = formatted[end : marks[k][0]], turn.close, turn.loss
+                text, want = formatted[end : marks[k][0]], turn.close
             else:
                 role, k = self.unescape(formatted[end : marks[k + 1][0]]), k + 2
-                text, want, loss = formatted[marks[k - 1][1] : marks[k][0]], t.other[2], False
+                text, want = formatted[marks[k - 1][1] : marks[k][0]], t.other[2]
             if marks[k][2] != want:
                 raise ValueError("not a formatted conversation")
-            out.append((role, self.unescape(text), loss))
+            out.append((role, self.unescape(text)))
             k += 1
         return out
 
@@ -175,21 +175,26 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
 
 
 def digests(formatted: DataFrame, template: Template | None = None) -> DataFrame:
-    """What a reader finds in the formatted strings: turns and loss text, parsed from the output alone."""
+    """What a reader finds in the output alone: turns in the formatted strings, loss text in the segments that are flagged.
+
+    Segments that don't join to the formatted string raise an error.
+    """
     shape = template or Template()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fmt = Formatter(shape)
         for batch in batches:
             out = []
-            for text in batch["formatted"]:
+            for text, segments in zip(batch["formatted"], batch["segments"]):
                 turns, all_turns, loss, chars = fmt.read_back(text), hashlib.sha256(), hashlib.sha256(), 0
-                for role, said, flag in turns:
+                if "".join([s["text"] for s in segments]) != text:
+                    raise ValueError("the segments are not the formatted conversation")
+                for role, said in turns:
                     all_turns.update(f"{role}\n{said}\n".encode())
-                    if flag:
-                        loss.update(said.encode())
-                        chars += len(said)
+                for said in [fmt.unescape(s["text"]) for s in segments if s["loss"]]:
+                    loss.update(said.encode())
+                    chars += len(said)
                 out.append((len(turns), all_turns.hexdigest(), chars, loss.hexdigest(), len(text)))
             yield pd.concat([batch[["conv_id", "valid", "first_bad_turn"]], pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], index=batch.index)], axis=1).astype({"conv_id": "Int64", "first_bad_turn": "Int64"})
 
-    return formatted.select("conv_id", "formatted", "valid", "first_bad_turn").mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, first_bad_turn long")
+    return formatted.select("conv_id", "formatted", "segments", "valid", "first_bad_turn").mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean, first_bad_turn long")

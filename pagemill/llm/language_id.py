@@ -5,11 +5,11 @@ Evidence of a document, each as P(evidence | language):
 * its text: byte trigrams under a smoothed multinomial per language, and under a
   uniform model for texts in no known language;
 * the language that its markup declares;
-* the suffix of its address (last label of the host, or a language code in the path);
+* the suffix of its address (last label of the host, or a language code in the path); without an address, of its host where that has labels;
 * its host's prior, smoothed towards the host's parent domain, and that towards all.
 
-The trigram profiles are fitted to a bounded sample of the rows of each label; a label
-with fewer than ``min_rows`` (5) rows in the whole table has none.  Everything
+The trigram profiles are fitted to a bounded sample of the rows of each label, however few those are; a label is a
+language code of two or three letters, and what follows it ("en-US") does not count.  Everything
 else is counted over all documents: one pass scores the texts and stores a narrow
 row each; grouped aggregations then count declared languages, suffixes and hosts by
 the texts' own best language.  Languages times declared codes are few rows; hosts may
@@ -64,7 +64,7 @@ def says_something(octets: np.ndarray) -> np.ndarray:
 class Profiles:
     """log P(trigram | language) as float32[BUCKETS, languages + 1]; the last column is the uniform model."""
 
-    def __init__(self, labelled: Sequence[tuple[str, str]], min_rows: int = 5, smoothing: float = 0.1):
+    def __init__(self, labelled: Sequence[tuple[str, str]], min_rows: int = 1, smoothing: float = 0.1):
         rows: dict[str, list[np.ndarray]] = {}
         for lang, text in labelled:
             if lang and text:
@@ -109,7 +109,7 @@ def label_rows(counts: Sequence[int], sample_rows: int, least: int = 50) -> int:
     return max(least, sample_rows)
 
 
-def fit(docs: DataFrame, label: str = "lang", text: str = "text", sample_rows: int = 2000, id_col: str | None = None, min_rows: int = 5) -> Profiles:
+def fit(docs: DataFrame, label: str = "lang", text: str = "text", sample_rows: int = 2000, id_col: str | None = None, min_rows: int = 1) -> Profiles:
     """Profiles of every label that has ``min_rows`` rows with text in the whole table, however rare it is.
 
     Labels are counted over all rows.  Each gives its rows with the smallest hash of text and id, as many as
@@ -117,8 +117,8 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", sample_rows: i
     below a cut of the hashes that leaves half as many again are sorted; where repeated rows make it leave too few,
     the label is read again with a wider cut.
     """
-    rows = docs.select(F.col(label).cast("string").alias("l"), F.col(text).alias("t"), F.xxhash64(text, *([id_col] if id_col else [])).alias("h"))
-    rows = rows.where("l <> '' and t <> ''")
+    rows = docs.select(primary(F.col(label)).alias("l"), F.col(text).alias("t"), F.xxhash64(text, *([id_col] if id_col else [])).alias("h"))
+    rows = rows.where(F.col("l").isNotNull() & (F.col("l") != UNKNOWN) & (F.col("t") != ""))
     counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().where(F.col("count") >= min_rows).collect()}
     take = label_rows(list(counts.values()), sample_rows)
     chosen: dict[str, list[tuple[str, str]]] = {}
@@ -137,16 +137,23 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", sample_rows: i
     return Profiles([row for x in sorted(chosen) for row in chosen[x]], min_rows)
 
 
+def primary(declared: Column) -> Column:
+    """The language code of two or three letters that a declared language starts with, in lower case; else null."""
+    return F.nullif(F.lower(F.regexp_extract(declared.cast("string"), r"\A\s*([A-Za-z]{2,3})(?:[-_].*)?\s*\z", 1)), F.lit(""))
+
+
 def _code(declared: Column, known: Sequence[str]) -> Column:
-    code = F.lower(F.regexp_extract(declared.cast("string"), r"\A\s*([A-Za-z]{2,3})(?:[-_].*)?\s*\z", 1))
+    code = primary(declared)
     return F.when(declared.isNull(), "none").when(code.isin(*known) if known else F.lit(False), code).otherwise("other")
 
 
 def address_suffix(address: Column, known: Sequence[str]) -> Column:
     """A known language code that is a part of the path or the first host label, else the last host label; "none" without an address."""
-    host = F.lower(F.regexp_extract(address, r"://([^/?#:]*)", 1))
+    bare = F.regexp_like(address, F.lit(r"\A[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?:[:/?#]|\z)"))
+    address = F.when(bare, F.concat(F.lit("//"), address)).otherwise(address)
+    host = F.lower(F.regexp_extract(address, r"\A(?:[^/?#]*:)?//([^/?#:]*)", 1))
     codes = "|".join(known) or "(?!)"
-    part = F.lower(F.regexp_extract(address, rf"(?i)://(?:[^/?#]*/)*?({codes})(?:[/?#]|\z)", 1))
+    part = F.lower(F.regexp_extract(address, rf"(?i)\A(?:[^/?#]*:)?//(?:[^/?#]*/)*?({codes})(?:[/?#]|\z)", 1))
     last = F.regexp_extract(host, r"([a-z0-9-]+)\z", 1)
     return F.when(part != "", part).when(last != "", last).otherwise("none")
 
@@ -199,13 +206,15 @@ def identify(
     sample_rows: int = 2000,
     min_confidence: float = 0.5,
     strength: float = 20.0,
-    min_rows: int = 5,
+    min_rows: int = 1,
 ) -> DataFrame:
     """doc_id, text_hash, host, lang, confidence, text_lang, declared, kept: one row per document.
 
     ``kept`` is false for "und" and below ``min_confidence``.  ``strength`` is the weight, in documents,
     of a parent's shares in its hosts' priors.  Labels with fewer than ``min_rows`` rows are no known language.
+    ``address_col``: where the address is; without one, hosts with labels give the suffix.
     """
+    address_col = address_col or host_col
     if profiles is None:
         profiles = fit(docs, declared_col, text_col, sample_rows, id_col, min_rows)
     langs = profiles.languages

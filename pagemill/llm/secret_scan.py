@@ -11,8 +11,10 @@ spans that overlap none of them: of a candidate that touches base spans, each pa
 outside them that is long enough is scored by itself, and all parts are reported if
 the whole candidate scores that much more than its base spans do.
 
-The labelled examples are drawn by a seeded rule from public formats; their number
-is a documented bound of the fit and the automata travel with the task.  Scanning
+Labelled examples are a parameter (:func:`labelled_examples` takes a bounded number from a table); without them they
+are drawn by a seeded rule from public formats.  Their number
+is a documented bound of the fit and the automata travel with the task.  Added spans that only a
+dot parts are one span.  Scanning
 is one pass inside a row: no shuffle, no state, whole texts.
 
 Cases: a null text is empty and has no spans; repeated rows are scanned each; very
@@ -29,10 +31,10 @@ import math
 import random
 import re
 import string
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -188,17 +190,22 @@ def infer(samples: Sequence[str], alpha: float = 0.05) -> Automaton:
 
 
 class Scanner:
-    """Formats and background, fitted to ``samples`` drawn examples each (a bound of the fit)."""
+    """Formats and background, fitted to labelled strings, or where there are none to ``samples`` drawn examples a format (a bound of the fit).
 
-    def __init__(self, samples: int = 300, seed: int = 11, min_bits: float = 40.0):
+    ``labelled``: format -> credentials; ``ordinary``: strings that are none.
+    """
+
+    def __init__(self, samples: int = 300, seed: int = 11, min_bits: float = 40.0, labelled: Mapping[str, Sequence[str]] | None = None, ordinary: Sequence[str] | None = None):
         rng = random.Random(seed)
         self.min_bits = min_bits
-        self.formats = {name: infer([draw_format(name, rng) for _ in range(samples)]) for name in FORMATS}
-        self.background = infer([draw_background(rng) for _ in range(24 * samples)])
+        if labelled is None:
+            labelled = {name: [draw_format(name, rng) for _ in range(samples)] for name in FORMATS}
+        self.formats = {name: infer(list(texts)) for name, texts in labelled.items() if texts}
+        self.background = infer(list(ordinary) if ordinary is not None else [draw_background(rng) for _ in range(24 * samples)])
 
     def score(self, text: str) -> float:
         """Bits of the best format beyond the background."""
-        return max(a.bits(text) for a in self.formats.values()) - self.background.bits(text)
+        return max((a.bits(text) for a in self.formats.values()), default=-math.inf) - self.background.bits(text)
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, kind), by start, then by kind as listed in :data:`KINDS`."""
@@ -212,30 +219,56 @@ class Scanner:
             found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_CHARS]
         if _LONG_HEX.search(text):
             found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text) if m.end() - m.start() >= HEX_CHARS]
-        base = sorted(found)
+        base = _merged(found)
+        added, near = [], 0  # candidates and merged base spans both run forward
         for m in CANDIDATE.finditer(text):
             start, end, run = m.start(), m.end(), m[0]
-            inner = [(max(s, start), min(e, end)) for s, e, _ in base if s < end and start < e]
+            while near < len(base) and base[near][1] <= start:
+                near += 1
+            inner, k = [], near
+            while k < len(base) and base[k][0] < end:
+                inner.append((max(base[k][0], start), min(base[k][1], end)))
+                k += 1
             if not inner:
                 if self.score(run) >= self.min_bits:
-                    found.append((start, end, "format"))
+                    added.append((start, end))
                 continue
-            parts, held, at = [], [], start  # outside and inside base spans, which may overlap
-            for s, e in inner:
-                if s > at:
-                    parts.append((at, s))
-                if e > at:
-                    held.append((max(s, at), e))
-                    at = e
-            if at < end:
-                parts.append((at, end))
+            edges = [start, *(x for span in inner for x in span), end]
+            parts = [(s, e) for s, e in zip(edges[::2], edges[1::2]) if s < e]  # outside base spans
             if not parts:
                 continue
-            whole = self.score(run) - sum(max(0.0, self.score(text[s:e])) for s, e in held) >= self.min_bits
-            found += [(s, e, "format") for s, e in parts if whole or e - s >= CANDIDATE_CHARS and self.score(text[s:e]) >= self.min_bits]
+            whole = self.score(run) - sum(max(0.0, self.score(text[s:e])) for s, e in inner) >= self.min_bits
+            added += [(s, e) for s, e in parts if whole or e - s >= CANDIDATE_CHARS and self.score(text[s:e]) >= self.min_bits]
+        dotted: list[tuple[int, int]] = []
+        for s, e in added:
+            if dotted and s == dotted[-1][1] + 1 and text[s - 1] == ".":
+                s = dotted.pop()[0]
+            dotted.append((s, e))
+        found += [(s, e, "format") for s, e in dotted]
         return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
+def _merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch joined."""
+    out: list[tuple[int, int]] = []
+    for s, e, _ in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
+
+def labelled_examples(examples: DataFrame, format_col: str = "format", text_col: str = "text", limit: int = 1000) -> dict[str, list[str]]:
+    """Credentials by format for :class:`Scanner`: of each format those ``limit`` with the smallest hash, a bound of the fit; nulls and empty texts go."""
+    rows = examples.select(F.col(format_col).cast("string").alias("f"), F.col(text_col).alias("t")).where("f is not null and t <> ''").distinct()
+    nth = F.row_number().over(Window.partitionBy("f").orderBy(F.xxhash64("t"), "t"))
+    out: dict[str, list[str]] = {}
+    for r in rows.withColumn("n", nth).where(F.col("n") <= limit).orderBy("f", "n").select("f", "t").collect():
+        out.setdefault(r["f"], []).append(r["t"])
+    return out
+
+
 @functools.cache
 def default_scanner() -> Scanner:
     return Scanner()

@@ -9,8 +9,9 @@ with the ids before each, so any document or id range is found without a scan.
 
 Documents are dealt by ranges of (doc_id, hash of the text), so files follow each
 other in ascending doc_id order and one hot id cannot fill one file unless its rows
-are equal.  A task writes under a name of its own and then renames, so a task that
-runs again leaves one whole file.
+are equal.  Files are as many as the texts' bytes ask for.  A task writes under a name of its
+own and then renames, so a task that runs again leaves one whole file; what lost tasks left is
+deleted at the end.
 
 Cases: null doc_ids come first; rows with the same doc_id are ordered by a hash of
 their text; repeated rows are documents of their own; a null text is empty and has
@@ -112,7 +113,9 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path within it, of a URL or a plain path."""
+    """File system and path within it, of a URL or a plain path; names that only Hadoop has for the same stores are known."""
+    for name, plain in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://")):
+        path = path.replace(name, plain, 1) if path.startswith(name) else path
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
@@ -141,10 +144,11 @@ class _Writer:
         self.put(struct.pack(_FOOT, at, len(self.starts), len(docs), int(counts.sum()), MAGIC))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 1 << 26) -> list[dict]:
     """Writes the files and the manifest below ``path``; returns the manifest's entries.
 
-    The manifest has one entry per file; files are as many as the shuffle's partitions.
+    The manifest has one entry per file.  A file is for about ``file_bytes`` bytes of text, or for less,
+    down to a sixty-fourth, where the cluster has more cores than files.
     """
     target, root = open_fs(path)
     target.create_dir(root, recursive=True)
@@ -155,7 +159,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         part = TaskContext.get().partitionId()
         where, base = open_fs(path)
         name, temp = f"part-{part:08d}.ids", f".{uuid.uuid4().hex}.tmp"
-        encoder, docs_, counts, end = TextEncoder(tokenizer), [], [], np.array([end_id], "<u4")
+        encoder, end = TextEncoder(tokenizer), np.array([end_id], "<u4")
+        docs_, nulls, counts = [], [], []  # arrays, one per batch
         sink = writer = None
         for batch in batches:
             if not batch.num_rows:
@@ -164,27 +169,34 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 sink = where.open_output_stream(f"{base}/{temp}")
                 writer = _Writer(sink)
             texts = batch.column(1)
-            docs_ += batch.column(0).to_pylist()
+            docs_.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+            nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
             for at in range(0, len(texts), 64):
                 ids = [x for raw in encoder.batch(texts.slice(at, 64).to_pylist()) for x in (np.frombuffer(raw, "<u4"), end)]
-                counts += [len(x) + 1 for x in ids[::2]]
+                counts.append(np.array([len(x) + 1 for x in ids[::2]], np.int64))
                 writer.add(ids)
         if writer is None:
             return
-        nulls = np.array([d is None for d in docs_])
-        writer.close(np.array([d or 0 for d in docs_]), nulls, np.array(counts, np.int64))
+        sizes = np.concatenate(counts)
+        writer.close(np.concatenate(docs_), np.concatenate(nulls), sizes)
         sink.close()
         where.move(f"{base}/{temp}", f"{base}/{name}")
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [len(docs_)], "ids": [sum(counts)]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [len(sizes)], "ids": [int(sizes.sum())]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    files = max(1, -(-total // file_bytes), min(cores, -(-64 * total // file_bytes)))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
+    dealt = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
     made = sorted(dealt.select("doc_id", "text").mapInArrow(run, "part long, file string, docs long, ids long").collect())
     manifest, before = [], 0
     for r in made:
         manifest.append({"file": r["file"], "docs": r["docs"], "ids": r["ids"], "ids_before": before})
         before += r["ids"]
+    for left in target.get_file_info(pafs.FileSelector(root)):
+        if left.base_name.endswith(".tmp"):
+            target.delete_file(left.path)
     with target.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
     return manifest

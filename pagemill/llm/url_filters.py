@@ -7,7 +7,8 @@ that the fewest URLs of the table have.  A URL's own tokens then fetch the
 candidate rules, and only those run their regular expression.  Rules without a
 whole token are candidates for every URL.
 
-The index is a literal map in the plan and the look-up works inside a row, so
+The index is a literal in the plan: an array of small maps, into which a token's checksum
+points, so a look-up takes as long with many rules as with few.  It works inside a row, so
 there is no join, no shuffle of pages and no skew: a hot host costs nothing extra.
 
 Cases: a null URL or one without ``://`` has empty host and path, fits no rule and
@@ -19,7 +20,9 @@ Other columns of the input are not read, whatever they are called.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -67,11 +70,30 @@ def token_counts(targets: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
     """In how many rows of ``targets(target)`` each of the rules' tokens occurs; as many results as rule tokens."""
     if not tokens:
         return {}
-    wanted = F.array(*map(F.lit, tokens))
-    rows = targets.select(F.explode(F.array_intersect(_tokens(F.col("target")), wanted)).alias("token")).groupBy("token").count().collect()
+    found = F.filter(_tokens(F.col("target")), lambda t: F.size(_looked_up(_index({t: [0] for t in tokens}), t)) > 0)
+    rows = targets.select(F.explode(found).alias("token")).groupBy("token").count().collect()
     return dict.fromkeys(tokens, 0) | {r["token"]: r["count"] for r in rows}
 
 
+def _literal(value: object, kind: str) -> Column:
+    """A literal of any size: read from JSON once, when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _index(filed: dict[str, list[int]]) -> tuple[Column, int]:
+    """Maps of token -> numbers, one per remainder of the tokens' checksums, and how many they are."""
+    slots = 1 << max(0, len(filed) - 1).bit_length()
+    maps: list[dict[str, list[int]]] = [{} for _ in range(slots)]
+    for token, numbers in sorted(filed.items()):
+        maps[zlib.crc32(token.encode()) % slots][token] = numbers
+    return _literal(maps, "array<map<string,array<int>>>"), slots
+
+
+def _looked_up(index: tuple[Column, int], token: Column) -> Column:
+    maps, slots = index
+    return F.coalesce(F.try_element_at(F.get(maps, F.pmod(F.crc32(token.cast("binary")), F.lit(slots)).cast("int")), token), F.array().cast("array<int>"))
+
+
 def index_rules(rules: Sequence[Rule], counts: dict[str, int]) -> tuple[dict[str, list[int]], list[int]]:
     """Token -> numbers of the rules filed under it; numbers of the rules that have no whole token."""
     filed: dict[str, list[int]] = {}
@@ -97,19 +119,20 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", keep:
     number = F.lit(None).cast("int")
     none = F.array().cast("array<int>")
     if filed:
-        index = F.create_map(*[x for t, ks in sorted(filed.items()) for x in (F.lit(t), F.array(*map(F.lit, ks)))])
-        found = F.flatten(F.transform(F.array_intersect(_tokens(target), F.array(*map(F.lit, sorted(filed)))), lambda t: index[t]))
+        index = _index(filed)
+        found = F.flatten(F.transform(_tokens(target), lambda t: _looked_up(index, t)))
     else:
         found = none
-    candidates = F.concat(found, F.array(*map(F.lit, always)) if always else none)
+    candidates = F.concat(found, _literal(always, "array<int>")) if always else found
     if rules:
         order = sorted(range(len(rules)), key=lambda k: (-len(rules[k].text), -len(rules[k].host), rules[k].action != "block", k))
-        place = F.array(*[F.lit(order.index(k)) for k in range(len(rules))])
-        patterns, by_place = F.array(*[F.lit(r.regex()) for r in rules]), F.array(*map(F.lit, order))
+        at = {k: n for n, k in enumerate(order)}
+        place, by_place = _literal([at[k] for k in range(len(rules))], "array<int>"), _literal(order, "array<int>")
+        patterns = _literal([r.regex() for r in rules], "array<string>")
         fits = F.filter("__candidates", lambda k: F.regexp_like(F.concat("__host", "__path"), F.get(patterns, k)))
         number = F.get(by_place, F.array_min(F.transform(fits, lambda k: F.get(place, k))))
     rows = rows.withColumn("__candidates", candidates).withColumn("__rule", number)
-    texts, actions = F.array(*[F.lit(r.text) for r in rules]).cast("array<string>"), F.array(*[F.lit(r.action) for r in rules]).cast("array<string>")
+    texts, actions = _literal([r.text for r in rules], "array<string>"), _literal([r.action for r in rules], "array<string>")
     return rows.select(
         *[F.col(f"__{k}").alias(c) for k, c in enumerate(keep)],
         F.col("__host").alias("host"),

@@ -24,12 +24,12 @@ def test_topk(spark):
     got = defaultdict(list)
     for r in topk_search.topk(table, F.col("vec_id") % 50 == 0, block_rows=40, block_queries=2).collect():
         got[r["query_id"]].append((r["rank"], -r["score"], r["vec_id"]))
-    ints = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ints = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     for q in (0, 50, 100):
         v = next(x for i, x in ints if i == q)
         best = sorted((-int(v @ x), i) for i, x in ints if i != q and len(x) == 4)[:5]
         assert sorted(got[q]) == [(k + 1, s, i) for k, (s, i) in enumerate(best)]
-    assert got[300] == [] and topk_search.topk(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert got[300] == [] and all(r["vec_id"] != 204 for r in topk_search.topk(table, F.col("vec_id") % 50 == 0).collect()) and topk_search.topk(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
 def test_url_filters(spark):
@@ -95,6 +95,8 @@ def test_chat(spark):
     table = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     made = chat_format.format_conversations(table)
     got = {r["conv_id"]: r for r in chat_format.digests(made).collect()}
+    wrong = made.withColumn("segments", F.transform("segments", lambda s: F.struct(s["text"].alias("text"), (~s["loss"]).alias("loss"))))
+    assert {r["conv_id"]: r["loss_sha256"] for r in chat_format.digests(wrong).collect()}[1] != got[1]["loss_sha256"]  # the mask itself is read
     assert len(got) == 5 and got[1]["valid"] and got[1]["loss_chars"] == 1
     assert got[1]["turns_sha256"] == hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest() and got[1]["loss_sha256"] == hashlib.sha256(b"b").hexdigest()
     assert got[2]["turns_sha256"] == hashlib.sha256(b"user\nx\n\n\n").hexdigest() and got[3]["n_turns"] == 2 and got[3]["first_bad_turn"] == 1
@@ -213,7 +215,7 @@ def test_jaccard_join(spark, no_docs):
     table = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, key string")
     links, group = _brute(rows)
     want = Counter((d, rows[group[i]][0] if _shingles(t) else d, len(links[i])) for i, (d, t) in enumerate(rows))
-    for meeting in (512, 8):
+    for meeting in (512, 8, 1):
         got = ngram_join.jaccard_join(table, meeting=meeting).collect()
         assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == want
     kept = ngram_join.keep_one(table)
@@ -222,6 +224,16 @@ def test_jaccard_join(spark, no_docs):
     assert ngram_join.jaccard_join(no_docs).count() == 0 and ngram_join.keep_one(no_docs).count() == 0
 
 
+def test_one_id_on_many_texts(spark):
+    """All ids null: representatives are told apart by their texts; a large class and texts without words keep their rows."""
+    base = [f"v{k}" for k in range(60)]
+    texts = [" ".join([*base, f"n{k % 40}"]) for k in range(120)] + [BASE] * 700 + ["", None, " "] * 30
+    table = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = Counter(r["n_links"] for r in ngram_join.jaccard_join(table).collect())
+    assert got == {119: 120, 699: 700, 0: 90}
+    assert ngram_join.keep_one(table).count() == 2 + 3
+
+
 def test_one_id_on_two_texts(spark):
     table = spark.createDataFrame([(1, BASE), (1, LONG), (2, BASE), (2, LONG), (1, BASE)], "doc_id long, text string")
     assert sorted(r["text"] for r in ngram_join.keep_one(table).collect()) == sorted([BASE, LONG])
@@ -234,23 +246,70 @@ def test_language(spark, docs, no_docs):
     table = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, lang string, source string, confidence string")
     got = {r["doc_id"]: r for r in language_id.identify(table).collect()}
     assert all(got[d]["lang"] == lang and got[d]["kept"] for d, _, lang, _ in rows[:60])
-    assert got[100]["lang"] == "de" and got[105]["lang"] == "en" and not any(got[d]["kept"] for d in (101, 102, 103, 104)) and got[104]["lang"] == "und"
+    assert got[100]["lang"] == "de" and got[105]["lang"] == "en" and not any(got[d]["kept"] for d in (101, 102, 103)) and got[104]["lang"] == "th"  # one labelled row is a language
     kept = language_id.keep_known(table)
     assert kept.columns == table.columns and {r["doc_id"]: r["lang"] for r in kept.collect()} == {d: got[d]["lang"] for d in got if got[d]["kept"]}
     by_url = table.withColumn("url", F.concat(F.lit("https://"), "source", F.lit("/de/1")))
     assert language_id.identify(by_url, address_col="url").count() == len(rows)
+    short = spark.createDataFrame([(k, "ist was", None, f"x{k % 9}.{('de', 'com')[k % 2]}") for k in range(40)] + [(100 + k, de * 3, "de", f"y{k}.de") for k in range(40)] + [(200 + k, en * 3, "en", f"y{k}.com") for k in range(40)], "doc_id long, text string, lang string, source string")
+    by_suffix = {r["doc_id"]: r for r in language_id.identify(short).collect()}
+    assert by_suffix[0]["confidence"] != by_suffix[1]["confidence"]  # the same text under another suffix
     assert language_id.identify(no_docs).count() == 0 and language_id.identify(docs).count() == len(TEXTS)
 
 
 def test_rare_language_of_a_large_table_is_known(spark):
     en, de, fr = "the and of with that was for this is in it on ", "der die und nicht mit ist ein auf dem sie ich ", "le la les des une est dans pour que qui sur avec "
-    rows = [(k, en * (1 + k % 4), "en", "a") for k in range(3000)] + [(5000 + k, de * (1 + k % 4), "de", "a") for k in range(6)] + [(6000, fr, "fr", "b")] * 1500 + [(7000 + k, fr + "z", "xx", "c") for k in range(4)]
+    rows = [(k, en * (1 + k % 4), "en", "a") for k in range(3000)] + [(5000 + k, de * (1 + k % 4), "de", "a") for k in range(6)] + [(6000, fr, "fr", "b")] * 1500 + [(7000 + k, fr + "z", "xx", "c") for k in range(4)] + [(8000, "?", "unknown", None), (8001, en, "EN-gb", "a")]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    assert language_id.fit(table, sample_rows=200, id_col="doc_id").languages == ["de", "en", "fr"]  # xx has too few rows
+    assert language_id.fit(table, sample_rows=200, id_col="doc_id").languages == ["de", "en", "fr", "xx"]
+    assert language_id.fit(table, sample_rows=200, id_col="doc_id", min_rows=5).languages == ["de", "en", "fr"]
     kept = language_id.keep_known(table.where("lang <> 'fr'"), sample_rows=200)
     assert kept.where("lang = 'de' and doc_id between 5000 and 5005").count() == 6
 
 
+def test_few_rows_of_a_language_stay(spark):
+    en, pt = "the and of with that was for this is in it on ", "que não uma para com mais como mas foi ao ele das "
+    rows = [(k, en * (2 + k % 5), "en", "a") for k in range(200)] + [(500 + k, pt * (2 + k), "pt", "b") for k in range(4)]
+    kept = {r["doc_id"]: r["lang"] for r in language_id.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(kept) == 204 and all(kept[500 + k] == "pt" for k in range(4))
+
+
+def test_posterior_is_the_sum_of_the_evidence(spark):
+    """Recomputed from the counts of all documents, one after the other."""
+    rng = np.random.default_rng(8)
+    words = {"en": "the and of with that was for this is".split(), "de": "der die und nicht mit ist ein auf".split()}
+    rows = [(k, " ".join(rng.choice(words[lang], 1 + k % 9)), lang if k % 4 else None, f"h{k % 5}.{('org', 'com')[k % 2]}.net" if k % 6 else None) for k in range(90) for lang in [("en", "de")[k % 3 == 0]]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    profiles = language_id.fit(table, id_col="doc_id")
+    got = {r["doc_id"]: r for r in language_id.identify(table, profiles).collect()}
+    models = [*profiles.languages, "und"]
+    ll, top = {}, {}
+    for d, text, _, _ in rows:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        mean, grams = profiles.scores(raw, np.array([0, len(raw)]))
+        ll[d] = mean[0] * min(int(grams[0]), language_id.EFFECTIVE)
+        top[d] = len(models) - 1 if not grams[0] else int(ll[d].argmax())
+    total = Counter(top.values())
+    code, suffix, own, above = (defaultdict(Counter) for _ in range(4))
+    for d, _, lang, host in rows:
+        code[lang or "none"][top[d]] += 1
+        suffix["net" if host else "none"][top[d]] += 1
+        own[host][top[d]] += 1
+        above[host and host.split(".", 1)[1]][top[d]] += 1
+    n, m = len(rows), len(models)
+    for d, _, lang, host in rows:
+        post = []
+        for k in range(m):
+            everywhere = (total[k] + 1) / (n + m)
+            up = host and host.split(".", 1)[1]
+            parent = (above[up][k] + 20 * everywhere) / (sum(above[up].values()) + 20) if host else everywhere
+            prior = (own[host][k] + 20 * parent) / (sum(own[host].values()) + 20)
+            post.append(ll[d][k] + np.log(prior) + np.log((code[lang or "none"][k] + 1) / (total[k] + m + 1)) + np.log((suffix["net" if host else "none"][k] + 1) / (total[k] + 50)))
+        post = np.array(post)
+        if int(top[d]) < m - 1:
+            assert got[d]["lang"] == models[int(post.argmax())] and got[d]["confidence"] == pytest.approx(1 / np.exp(post - post.max()).sum())
+
+
 def test_held_out_language(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     profiles = language_id.fit(rows.where("doc_id % 2 = 0"), sample_rows=300)

@@ -1,6 +1,7 @@
 import functools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -15,17 +16,35 @@ from pagemill.llm._tokens import TextEncoder
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=80, deadline=None)
 @given(st.data())
 def test_index_is_exact(data):
-    n, d = data.draw(st.integers(1, 40)), data.draw(st.integers(1, 6))
+    n, d, m = data.draw(st.integers(1, 60)), data.draw(st.integers(0, 6)), data.draw(st.integers(1, 4))
     rng = np.random.default_rng(data.draw(st.integers(0, 999)))
-    values, ids = rng.integers(-9, 9, (n, d)), rng.integers(0, 20, n)
+    high = data.draw(st.sampled_from([2, 9, 1 << 20, 1 << 40, 1 << 62]))
+    values, ids = rng.integers(-high, high, (n, d)), rng.integers(0, 30, n)
     if data.draw(st.booleans()):
         values[:] = values[0]
-    query, own = rng.integers(-9, 9, d), int(ids[0])
-    want = sorted(((int(v @ query), int(i)) for v, i in zip(values, ids) if i != own), key=lambda x: (-x[0], x[1]))[:5]
-    assert topk_search.ImpactBlock(ids, values, levels=data.draw(st.integers(1, 16))).search(query, own, 5) == want
+    queries, own = rng.integers(-high, high, (m, d)), ids[rng.integers(0, n, m)]
+    got, half = None, data.draw(st.integers(1, n))
+    for part in (slice(0, half), slice(half, n)):  # thresholds go from part to part
+        if len(ids[part]):
+            index = topk_search.ImpactPart(ids[part], values[part], levels=data.draw(st.sampled_from([2, 16, 256])))
+            got = index.search(queries, own, 5, got)
+    for q, o, (scores, found) in zip(queries.tolist(), own.tolist(), got):
+        exact = ((sum(x * y for x, y in zip(q, v)), int(i)) for v, i in zip(values.tolist(), ids) if i != o)
+        assert list(zip(map(int, scores), map(int, found))) == sorted(exact, key=lambda x: (-x[0], x[1]))[:5]
+
+
+def test_the_walk_stops_on_proof_before_the_end():
+    rng = np.random.default_rng(3)
+    values = rng.normal(0, 32, (4096, 64)).astype(np.int64)
+    index = topk_search.ImpactPart(np.arange(4096), values)
+    found = index.search(values[:64], np.arange(64), 5)
+    assert index.read < 0.9 * index.held
+    scores = values[:64] @ values.T
+    np.fill_diagonal(scores, np.iinfo(np.int64).min)
+    assert [s.tolist() for s, _ in found] == np.sort(scores, axis=1)[:, :-6:-1].tolist()
 
 
 @settings(max_examples=80, deadline=None)
@@ -34,7 +53,7 @@ def test_chats_read_back(turns):
     f = chat_format.Formatter()
     parts = f.segments(turns)
     formatted = "".join(x for x, _ in parts)
-    assert [(r, t) for r, t, _ in f.read_back(formatted)] == turns
+    assert f.read_back(formatted) == turns
     assert [f.unescape(x) for x, loss in parts if loss] == [t for r, t in turns if r == "assistant"]
 
 
@@ -167,6 +186,48 @@ def test_every_part_of_a_candidate_is_scored():
         assert all(kind == "hex" for _, _, kind in tool.spans(plain)), plain
 
 
+def test_spans_are_found_in_time_that_grows_with_the_text():
+    tool, took = secret_scan.default_scanner(), []
+    for n in (500, 4000):
+        text = "password=abcdef12 " * n + "some-words/and-more-words " * n
+        began = time.perf_counter()
+        assert len(tool.spans(text)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0] + 0.2
+
+
+def test_dots_do_not_part_a_token_and_examples_may_be_given():
+    tool, rng = secret_scan.default_scanner(), random.Random(5)
+    token = ".".join("".join(rng.choices(secret_scan.UPPER + secret_scan.LOWER + secret_scan.DIGITS, k=n)) for n in (36, 80, 43))
+    assert tool.spans(f"x {token}. y") == [(2, 2 + len(token), "format")]
+    own = secret_scan.Scanner(labelled={"ticket": [f"TKT_{rng.randrange(10**18):018d}" for _ in range(300)]})
+    assert own.spans("see TKT_123456789012345678 now") == [(4, 26, "format")] and own.spans("see " + token) == []
+
+
+#: The base patterns once more, as the contract words them.
+BASE_RULES = (
+    ("assign", re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[2]) >= 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["password", "PassWd", "secret", "token", "api_key", "APIkey", '"', "'", " ", "=", ":", "abc", "abcdef", "x-y.z", "AKIA", "AKIAQ", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef" * 3, "é", "\n", "日"]), max_size=14).map("".join))
+def test_base_spans_are_those_of_the_patterns(text):
+    want = sorted(((m.start(), k, m.end(), name) for k, (name, pattern, good) in enumerate(BASE_RULES) for m in pattern.finditer(text) if good(m)))
+    got = [x for x in secret_scan.default_scanner().spans(text) if x[2] != "format"]
+    assert got == [(a, b, name) for a, _, b, name in want]
+
+
+def test_rules_are_looked_up_among_many(spark):
+    rules = [url_filters.Rule("block" if k % 2 else "allow", f"h{k}.org", f"/p{k}/") for k in range(3000)] + [url_filters.Rule("block", "h7.org", "/p7/q/")]
+    urls = [(k, f"https://www.h{k}.org/p{k}/x") for k in range(0, 6000, 7)] + [(7, "http://h7.org/p7/q/1"), (8, "http://h8.org/p9/")]
+    got = {(r["page_id"], r["rule"], r["verdict"], r["n_candidates"] < 5) for r in url_filters.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules, default="none").collect()}
+    want = {(k, f"h{k}.org/p{k}/" if k < 3000 else None, ("block" if k % 2 else "allow") if k < 3000 else "none", True) for k in range(0, 6000, 7)} | {(7, "h7.org/p7/q/", "block", True), (8, None, "none", True)}
+    assert got == want
+
+
 def test_forest_depth():
     assert ngram_join.forest_depth(0.8, 24, 8, 0.9999) == 5 and ngram_join.recall(0.8, 24, 5) >= 0.9999
 
@@ -189,9 +250,49 @@ def test_shingles_are_word_windows(texts):
     assert len(set(seen.values())) == len(seen)
 
 
-def test_shared_counts():
-    sets = [np.array(x, np.uint64) for x in ([1, 2, 3], [2, 3, 4, 5], [9], [1, 2, 3])]
-    assert ngram_join.shared_counts(sets, width=2).tolist() == [[3, 2, 0, 3], [2, 4, 0, 2], [0, 0, 1, 0], [3, 2, 0, 3]]
+def _linked(sets, copies, own, top, bottom):
+    """Links and chains of a meeting by all pairs."""
+    n, links = len(sets), [0] * len(sets)
+    chain = list(range(n))
+    for i in range(n):
+        for j in range(n):
+            both = len(sets[i] & sets[j])
+            if i != j and (len(set(own)) == 1 or own[i] != own[j]) and bottom * both >= top * (len(sets[i]) + len(sets[j]) - both):
+                links[i] += copies[j]
+                chain = [min(chain[i], chain[j]) if c in (chain[i], chain[j]) else c for c in chain]
+    return links, chain
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data())
+def test_a_meeting_finds_every_link(data):
+    base = data.draw(st.sets(st.integers(0, 40), min_size=1, max_size=20))
+    change = st.tuples(st.sets(st.sampled_from(sorted(base)), max_size=6), st.sets(st.integers(20, 60), max_size=5))
+    sets = [((base - out) | more) or {1} for out, more in data.draw(st.lists(change, min_size=1, max_size=20))]
+    sets += data.draw(st.lists(st.sets(st.integers(0, 60), min_size=1, max_size=20), max_size=6))
+    own = [data.draw(st.integers(0, 1)) for _ in sets] if data.draw(st.booleans()) else [0] * len(sets)
+    copies = [data.draw(st.integers(1, 4)) for _ in sets]
+    top, bottom = data.draw(st.sampled_from([(4, 5), (1, 2), (9, 10), (1, 1)]))
+    links, chain = ngram_join.Meeting([np.array(sorted(s), np.uint64) for s in sets], np.array(copies), np.array(own), top, bottom).links()
+    want_links, want_chain = _linked(sets, copies, own, top, bottom)
+    assert links.tolist() == want_links
+    assert len(set(zip(chain.tolist(), want_chain))) == len(set(chain.tolist())) == len(set(want_chain))
+
+
+def test_time_of_a_family_grows_with_its_size():
+    rng, took = np.random.default_rng(2), []
+    base = rng.integers(0, 1 << 60, 200, dtype=np.uint64)
+    for n in (2500, 10_000):
+        sets = []
+        for _ in range(n):
+            own = base.copy()
+            own[rng.integers(0, 200, 8)] = rng.integers(0, 1 << 60, 8, dtype=np.uint64)
+            sets.append(np.unique(own))
+        began = time.perf_counter()
+        links, chain = ngram_join.Meeting(sets, np.ones(n, np.int64), np.zeros(n, int), 4, 5).links()
+        took.append(time.perf_counter() - began)
+        assert set(links.tolist()) == {n - 1} and set(chain.tolist()) == {0}
+    assert took[1] < 8 * took[0] + 0.5
 
 
 def test_profiles_tell_languages_apart():
