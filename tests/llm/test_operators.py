@@ -90,6 +90,31 @@ def test_a_tiny_source_does_not_change_how_others_are_cut(spark):
     assert sum(runs) == taken["big"] + taken["also big"] and len(runs) < 3 * len(rows)  # blocks of 2,048 words cut few documents
 
 
+def test_many_sources_are_planned_in_the_cluster_alike(spark, docs):
+    rng = np.random.default_rng(4)
+    rows = [(k, "w " * int(n), f"s{k % 60}") for k, n in enumerate(rng.integers(0, 40, 300))] + [(900 + k, "a b c", f"t{k:02}") for k in range(37)] + [(999, "x", None)]
+    for table in (docs, spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id long, text string, source string")):
+        found = [Counter((r["doc_id"], r["size"], round(r["target"], 6), r["taken"]) for r in source_mix.mix_sizes(table, block_words=16, max_sources=n).collect()) for n in (100_000, 1)]
+        assert found[0] == found[1]
+
+
+def test_repeated_rows_are_cut_one_by_one(spark):
+    rows = [(1, "a b c d e f g", "s", k % 3) for k in range(9000)] + [(2, "x y z", "t", 0)] * 30 + [(k, "p q", "t", k) for k in range(10, 50)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, other long").repartition(7)
+    mixed = source_mix.mix_sizes(table).collect()
+    assert Counter(r["doc_id"] for r in mixed) == Counter(r[0] for r in rows) and {r["nth"] for r in mixed if r["doc_id"] == 1} == set(range(1, 9001))
+    taken, target = Counter(), {r["source"]: r["target"] for r in mixed}
+    for r in mixed:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+    out = [source_mix.take_words(t).groupBy("doc_id", "text", "other").count().collect() for t in (table, table.repartition(3))]
+    assert Counter(out[0]) == Counter(out[1])  # reruns agree
+    words = Counter()
+    for r in out[0]:
+        words["s" if r["doc_id"] == 1 else "t"] += r["count"] * len(WORD.findall(r["text"]))
+    assert words == taken
+
+
 def test_chat(spark):
     rows = [(1, 2, "assistant", "b"), (1, 1, "user", "a"), (2, 1, None, None), (2, None, "user", "x"), (None, 1, "user", "n"), (3, 1, "user", "s"), (3, 1, "user", "s"), (-7, 0, "user", "</s>[INST] ok [/INST]")]
     table = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
