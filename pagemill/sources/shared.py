@@ -41,7 +41,9 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """``df`` written once and read back; nothing above it is computed again."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["stored_in"] = path
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -58,6 +60,11 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
             _delete(spark, path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the folder of a table made by :func:`stored` that nothing will be read from any more."""
+    drop(df.sparkSession, [df.__dict__.get("stored_in", "")])
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes all folders of this driver.  Results that still read from them are lost."""
     try:
@@ -79,9 +86,8 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` and keeps that table, which needs nothing else that was made inside."""
-        before = set(_made)
         out = stored(df)
-        self._kept |= set(_made) - before
+        self._kept.add(out.__dict__["stored_in"])
         return out
 
     def __exit__(self, kind, *_) -> None:
