@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.sources.shared import Scratch, clean, shared_dir, stored
+from pagemill.sources.shared import Scratch, clean, release, shared_dir, stored
 
-__all__ = ["Scratch", "clean", "shared_dir", "stored", "tokenizer_path"]
+__all__ = ["Scratch", "clean", "release", "shared_dir", "stored", "tokenizer_path"]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

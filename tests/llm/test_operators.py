@@ -342,14 +342,45 @@ def test_held_out_language(spark):
     assert got.where("text_lang = said").count() >= 0.98 * got.count()
 
 
-def test_pipeline(spark, docs):
-    current = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, current, "")
-        assert out.columns == current.columns, name
-        current = out
-    packed = corpus_pipeline.STAGES[-1][1](spark, current, "")
-    assert packed.where("crc32(ids) <> ids_crc32").count() == 0
+def test_pipeline(spark, docs, tokenizer):
+    """Each stage against a plain recomputation of its own input."""
+    stages, columns = dict(corpus_pipeline.STAGES), ["doc_id", "text", "lang", "source", "n_chars"]
+    more = [(100 + k, BASE.replace("cat", f"cat{k % 3}") + f" token: abcdef{k}" + " and so it was with the old town by the sea" * (1 + k % 4), "en", f"s{k % 3}", 1) for k in range(30)]
+    begin = docs.select(*columns).unionByName(spark.createDataFrame(more, docs.select(*columns).schema))
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+
+    known = stages["language"](spark, begin, "")
+    said = {(r["doc_id"], r["text_hash"]): r for r in language_id.identify(begin).collect()}
+    hashed = begin.withColumn("h", F.xxhash64("text")).collect()
+    assert rows(known) == sorted(((r["doc_id"], r["text"], said[r["doc_id"], r["h"]]["lang"], r["source"], r["n_chars"]) for r in hashed if said[r["doc_id"], r["h"]]["kept"]), key=str)
+
+    single = stages["near_duplicates"](spark, known, "")
+    before = [(r["doc_id"], r["text"]) for r in known.collect()]
+    groups, left = _brute(before)[1], Counter((r["doc_id"], r["text"]) for r in single.collect())
+    heads = Counter(min(((d is None, d or 0, t) for (d, t), g in zip(before, groups) if g == head), key=lambda x: x[:2])[:2] for head in {g for g, (_, t) in zip(groups, before) if _shingles(t)})
+    assert Counter((d is None, d or 0) for d, t in left.elements() if _shingles(t)) == heads and not left - Counter(before)
+
+    masked = stages["secrets"](spark, single, "")
+    tool = secret_scan.default_scanner()
+    clean = lambda t: secret_scan.masked(t, tool.spans(t), "[SECRET]") if t else t
+    assert rows(masked) == sorted(((r["doc_id"], clean(r["text"]), r["lang"], r["source"], None if r["text"] is None else len(clean(r["text"]))) for r in single.collect()), key=str)
+    assert "token: abcdef" not in str(rows(masked)) and "[SECRET]" in str(rows(masked))
+
+    mixed = stages["mix"](spark, masked, "")
+    texts, taken = {r["doc_id"]: r["text"] for r in masked.collect()}, Counter()
+    for r in mixed.collect():
+        taken[r["doc_id"]] += len(WORD.findall(r["text"]))
+        assert " ".join(WORD.findall(r["text"])) in " ".join(WORD.findall(texts[r["doc_id"]])) and r["n_chars"] == len(r["text"])
+    want = Counter()
+    for r in source_mix.mix_sizes(masked).collect():
+        want[r["doc_id"]] += r["taken"]
+    assert taken == +want and all(df.columns == columns for df in (known, single, masked, mixed))
+
+    packed = stages["pack"](spark, mixed, "").collect()
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in packed)
+    assert sum(r["length"] for r in packed) == sum(len(_ids(tokenizer, r["text"])) for r in mixed.collect())
+    whole = Counter(bytes(r["ids"]) for r in packed if r["length"] == r["doc_tokens"])
+    assert not whole - Counter(_ids(tokenizer, r["text"]).tobytes() for r in mixed.collect())
 
 
 def test_entry_lists_every_query():
