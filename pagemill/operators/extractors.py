@@ -350,7 +350,9 @@ HN_DEPTH, HN_COMMENTS = 3, 20
 
 
 def unix_day(seconds: Any) -> str:
-    return (datetime(1970, 1, 1) + timedelta(seconds=seconds)).strftime("%Y-%m-%d") if isinstance(seconds, int) and not isinstance(seconds, bool) else ""
+    if not isinstance(seconds, int) or isinstance(seconds, bool) or abs(seconds) > 253_402_300_799:  # the year 9999 ends
+        return ""
+    return (datetime(1970, 1, 1) + timedelta(seconds=max(seconds, -62_135_596_800))).strftime("%Y-%m-%d")
 
 
 def _hn_comments(doc: Node) -> list[Comment]:

@@ -108,7 +108,7 @@ def page_metadata(pages: DataFrame, html_col: str = "html", url_col: str = "url"
             "image": chain("image", meta, schema),
             "published": chain("published", meta, schema),
             "modified": chain("modified", meta, schema),
-            "author": chain("author", meta, schema),
+            "author": F.coalesce(chain("author", meta, schema), _schema_text(schema, "author.name")),
             "site": F.coalesce(chain("site", meta, schema), chain("site_more", meta, schema)),
             "language": lang,
             "domain": columns.url_host(url),

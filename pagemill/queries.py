@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql
+from . import made_pages, sql
 from .functions import columns as C
 from .operators.extract import extract
 from .operators.extractors import chat_html
 from .operators.pipeline import Options
 from .plans import facts, nodes
 from .sources.files import result_json, result_markdown, result_text
+from .sources.shared import shared_dir, stored
 from .streaming import pages as stream
 
 
@@ -21,13 +20,19 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer splits than those, as a small table's has; a large table is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages, spread over the cores: a small table is one input split, and parsing is the work."""
-    return _read(spark, sf_dir, "pages").repartition(spark.sparkContext.defaultParallelism)
+    return _spread(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.dom_nodes(_pages(spark, sf_dir))
+    """The node table, stored: pages are parsed once, and filters on kind and tag reach the scans."""
+    return stored(nodes.dom_nodes(_pages(spark, sf_dir)))
 
 
 # -- whole pages -------------------------------------------------------
@@ -49,8 +54,16 @@ def extract_without_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.col("page").withField("parse_time_ms", F.lit(0).cast("long"))
-    return extract(_pages(spark, sf_dir)).drop("html").select("page_id", result_json(page).alias("json"))
+    """Results as JSON lines, and what a reader finds in them."""
+    rows = extract(_pages(spark, sf_dir)).drop("html").select("page_id", result_json(F.col("page")).alias("json"))
+    read = lambda name: F.get_json_object("json", f"$.{name}")
+    return rows.select("page_id", read("title").alias("title"), read("domain").alias("domain"), read("word_count").cast("long").alias("word_count"), F.contains(read("content"), F.lit("<article>")).alias("has_content"))
+
+
+def extract_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options: the navigation as the content, clutter rules off."""
+    o = Options(content_selector="nav", remove_exact_selectors=False, remove_partial_selectors=False, remove_low_scoring=False, remove_content_patterns=False, remove_hidden_elements=False)
+    return extract(_pages(spark, sf_dir), o).drop("html").select("page_id", "page.word_count", F.startswith("page.content", F.lit("<nav>")).alias("is_nav"))
 
 
 def extract_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +84,7 @@ def longest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch operator under a stream that ends when its input does."""
-    from uuid import uuid4
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagemill-")).rstrip("/") + f"/stream-{uuid4().hex}"
+    base = shared_dir(spark)
     source = spark.readStream.schema(stream.PAGES).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir, base))
     out = stream.extract_stream(source).select("page_id", "page.title", "page.word_count")
     stream.write_stream(out, f"{base}/out", f"{base}/state", available_now=True).awaitTermination()
@@ -113,7 +124,7 @@ def text_strip_html_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_count_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "documents")
+    rows = _spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", C.count_words(F.col("text")).cast("long").alias("words"), C.count_commas(F.col("text")).cast("long").alias("commas"))
 
 
@@ -123,7 +134,7 @@ def text_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return _read(spark, sf_dir, "documents").select("doc_id", C.preview(text).alias("preview"), C.first_paragraph(text).alias("first"))
+    return _spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", C.preview(text).alias("preview"), C.first_paragraph(text).alias("first"))
 
 
 def text_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +147,7 @@ def text_percent_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dates_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "events").select("event_id", F.col("ts").alias("ts"))
+    rows = _spread(_read(spark, sf_dir, "events").select("event_id", "ts"))
     text = lambda form: C.iso_date(F.date_format("ts", form))
     return rows.select("event_id", text("MMMM d, yyyy").alias("english"), text("d MMMM yyyy").alias("plain"), text("yyyy-MM-dd").alias("iso"))
 
@@ -171,8 +182,18 @@ def node_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_link_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in links over bytes of text, of the whole body, the navigation and the article."""
+    all_nodes = _nodes(spark, sf_dir)
+    found = nodes.link_density(all_nodes, nodes.elements(all_nodes, "body", "nav", "article"))
+    tags = nodes.elements(all_nodes, "body", "nav", "article").select("page", "node_id", "tag")
+    return found.join(tags, ["page", "node_id"]).select(F.col("page").alias("page_id"), "tag", F.round("density", 9).alias("density"))
+
+
+def node_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_nodes = _nodes(spark, sf_dir)
-    return nodes.link_density(all_nodes, nodes.elements(all_nodes, "nav", "article")).groupBy(F.col("page").alias("page_id")).agg(F.round(F.max("density"), 6).alias("highest"), F.round(F.min("density"), 6).alias("lowest"))
+    found = nodes.tag_counts(all_nodes, nodes.elements(all_nodes, "nav", "article"), "a", "li", "p")
+    tags = nodes.elements(all_nodes, "nav", "article").select("page", "node_id", "tag")
+    return found.join(tags, ["page", "node_id"]).select(F.col("page").alias("page_id"), "tag", "a", "li", "p")
 
 
 def node_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +209,9 @@ def node_links_outside_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_sections_with_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs and lists that hold line breaks or links: a semi join."""
     all_nodes = _nodes(spark, sf_dir)
-    found = nodes.has_below(nodes.elements(all_nodes, "nav", "article", "footer"), nodes.elements(all_nodes, "a"))
+    found = nodes.has_below(nodes.elements(all_nodes, "nav", "article", "footer", "li", "p"), nodes.elements(all_nodes, "a", "br"))
     return found.groupBy("tag").agg(F.count("*").alias("n"))
 
 
@@ -215,9 +237,9 @@ QUERIES = {
         extract_pages, extract_content, extract_without_scoring, extract_json, extract_removals, domain_words, longest_pages, stream_pages, page_metadata,
         page_hosts, text_strip_tags, text_strip_html_tags, text_count_words, text_escape, text_preview, text_keywords, text_percent_encode,
         dates_from_text, dates_from_unix, json_paths, node_tags, node_links, node_headings, node_link_density, node_list_items,
-        node_links_outside_nav, node_sections_with_links, chat_pages,
+        node_links_outside_nav, node_sections_with_links, node_tag_counts, chat_pages, extract_navigation,
     )
-}
+} | made_pages.QUERIES
 
 # -- the same in SQL ---------------------------------------------------
 
@@ -253,8 +275,9 @@ _CLEAN = rf"""CASE WHEN regexp_matches(t, '(?s)\A\S+\s.* \| \S.*\z') AND regexp_
 _PARTS = r"string_split(regexp_extract(html, '(?s)<article>.*?</article>'), '<p>')"
 _SEEN = _trimmed(_decoded("regexp_replace(part, '<[^>]*>', '', 'g')"))
 #: Short bylines and notices go; k = 1 is the heading.
-_KEPT = rf"""k = 1 OR NOT (({_words(_SEEN)} <= 15 AND regexp_matches({_SEEN}, '(?i)\A(by|written by|author:)\s+\S')) OR
-    ({_words(_SEEN)} <= 30 AND regexp_matches({_SEEN}, '(?i)this article (appeared|was published|originally)|originally published|©\s*\d{{4}}|all rights reserved|comments|leave a reply|subscribe to|sign up for')))"""
+_BYLINE = rf"""({_words(_SEEN)} <= 15 AND regexp_matches({_SEEN}, '(?i)\A(by|written by|author:)\s+\S'))"""
+_BOILERPLATE = rf"""({_words(_SEEN)} <= 30 AND regexp_matches({_SEEN}, '(?i)this article (appeared|was published|originally)|originally published|©\s*\d{{4}}|all rights reserved|comments|leave a reply|subscribe to|sign up for'))"""
+_KEPT = f"k = 1 OR NOT ({_BYLINE} OR {_BOILERPLATE})"
 _COUNTED = _words(_decoded("regexp_replace(part, '<[^>]*>', ' ', 'g')"))
 _HOST = r"lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
 _ORIGIN = rf"regexp_extract(url, '^(https?)://', 1) || '://' || {_HOST}"
@@ -263,6 +286,12 @@ _EXTRACT = f"""SELECT page_id, {_CLEAN} AS title, language, domain, favicon, wor
     JOIN (SELECT page_id, CAST(sum({_COUNTED}) AS BIGINT) AS word_count FROM
       (SELECT page_id, unnest({_PARTS}) AS part, generate_subscripts({_PARTS}, 1) AS k FROM pages) WHERE {_KEPT} GROUP BY page_id) USING (page_id)"""
 _COUNT = lambda tag: f"len(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '', 'g'), '<{tag}[ >]'))"
+#: Bytes of the texts of all links.
+_LINKS = f"""list_sum(list_transform(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1), lambda x: strlen({_trimmed(_decoded("x"))})))"""
+#: What goes by exact selectors, and how often a page has it.
+_REMOVED = (
+    ('script:not([type^="math/"])', "len(regexp_extract_all(html, '<script>'))"), ("style", _COUNT("style")), ("meta", _COUNT("meta")), ('.ad:not([class*="gradient"])', "len(regexp_extract_all(html, '<div class=\"ad\">'))"), ("nav", _COUNT("nav")), ("footer", _COUNT("footer")),
+)
 _TAGS = ("p", "li", "a", "h1", "article", "nav", "footer", "div")
 _DAY = "strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d')"
 
@@ -291,11 +320,20 @@ ORACLE_SQL = {
     "node_links": f"""SELECT page_id, {_decoded("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS href, {_decoded("regexp_extract(a, '>([^<]*)</a>', 1)")} AS text
         FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a [^>]*>[^<]*</a>')) AS a FROM pages)""",
     "node_headings": f"SELECT page_id, {_decoded(chr(39).join(['regexp_extract(html, ', '(?s)<h1>(.*?)</h1>', ', 1)']))} AS text FROM pages",
-    "node_link_density": "SELECT page_id, 1.0::DOUBLE AS highest, 0.0::DOUBLE AS lowest FROM pages",
+    "node_link_density": f"""WITH p AS (SELECT page_id, {_LINKS} AS linked, strlen({_trimmed(_decoded("regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"))}) AS size FROM pages)
+        SELECT page_id, 'body' AS tag, round(linked / size, 9) AS density FROM p UNION ALL SELECT page_id, 'nav', 1.0 FROM p UNION ALL SELECT page_id, 'article', 0.0 FROM p""",
+    "node_tag_counts": f"""SELECT page_id, 'nav' AS tag, {_COUNT('a')} AS a, {_COUNT('li')} AS li, 0 AS p FROM pages UNION ALL SELECT page_id, 'article', 0, 0, {_COUNT('p')} FROM pages""",
+    "extract_json": f"SELECT page_id, title, domain, word_count, true AS has_content FROM ({_EXTRACT})",
+    "extract_navigation": f"""SELECT page_id, CAST(list_sum(list_transform(regexp_extract_all(html, '<a [^>]*>([^<]*)</a>', 1), lambda x: {_words(_decoded("x"))})) AS BIGINT) AS word_count, true AS is_nav FROM pages""",
     "node_list_items": f"SELECT page_id, {_COUNT('li')} AS items, {_COUNT('ul')} AS lists, {_COUNT('li')} - 2 * {_COUNT('ul')} AS inner_items FROM pages",
     "node_links_outside_nav": f"SELECT 'h1' AS tag, CAST(sum({_COUNT('h1')}) AS BIGINT) AS n FROM pages UNION ALL SELECT 'p', CAST(sum({_COUNT('p')}) AS BIGINT) FROM pages",
-    "node_sections_with_links": "SELECT 'nav' AS tag, count(*) AS n FROM pages",
+    "node_sections_with_links": f"""SELECT tag, count(*) AS n FROM (SELECT 'nav' AS tag FROM pages UNION ALL SELECT 'li' FROM (SELECT unnest(regexp_extract_all(html, '<li><a ')) FROM pages)
+        UNION ALL SELECT 'article' FROM pages WHERE contains(html, '<br>') UNION ALL
+        SELECT 'p' FROM (SELECT unnest({_PARTS}) AS part, generate_subscripts({_PARTS}, 1) AS k FROM pages) WHERE k > 1 AND contains(part, '<br>')) GROUP BY tag""",
+    "extract_removals": f"""SELECT * FROM ({" UNION ALL ".join(f"SELECT 'removeBySelector' AS step, '{s}' AS selector, 'exact selector match' AS reason, CAST(sum({n}) AS BIGINT) AS n FROM pages" for s, n in _REMOVED)}
+        UNION ALL SELECT 'removeByContentPattern', NULL, CASE WHEN {_BYLINE} THEN 'byline' ELSE 'boilerplate' END, count(*) FROM (SELECT unnest({_PARTS}) AS part, generate_subscripts({_PARTS}, 1) AS k FROM pages)
+        WHERE k > 1 AND ({_BYLINE} OR {_BOILERPLATE}) GROUP BY ALL) WHERE n > 0""",
     "chat_pages": """SELECT conv_id, '<div class="conversation">' || string_agg('<div class="message message-' || role || '" data-role="' || role || '"><div class="message-header"><strong>' ||
         CASE role WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'Assistant' ELSE role END || '</strong></div><div class="message-content">' || text || '</div></div>', '' ORDER BY turn) || '</div>' AS html
         FROM conversations GROUP BY conv_id""",
-}
+} | made_pages.ORACLE_SQL
