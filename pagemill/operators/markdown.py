@@ -68,8 +68,12 @@ class Converter:
         out = ""
         for k, c in enumerate(n.children):
             if c.kind == TEXT and not c.data.strip(" \t\n\r\f") and n.tag in BLOCKS and n.tag != "p" and self.ends_line(n.children[k + 1 :]):
+                out = out.removesuffix(" ")
                 continue
             part = self.node(c)
+            if c.tag == "br" and out.removesuffix(" ").endswith("  \n"):  # one of several
+                out = out.removesuffix(" ") + part
+                continue
             if not part:
                 continue
             if part == " " and ((not out and n.tag in BLOCKS) or out.endswith(("\n\n", " "))):
