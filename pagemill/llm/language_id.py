@@ -25,9 +25,10 @@ language that comes first by code point; without labelled rows every document is
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,22 +62,31 @@ def says_something(octets: np.ndarray) -> np.ndarray:
     return ok[:-2] & ok[1:-1] & ok[2:] if len(octets) >= 3 else np.zeros(0, bool)
 
 
+def count_trigrams(octets: np.ndarray) -> np.ndarray:
+    """How often each trigram of letters and spaces occurs."""
+    return np.bincount(trigrams(octets)[says_something(octets)], minlength=BUCKETS)
+
+
 class Profiles:
     """log P(trigram | language) as float32[BUCKETS, languages + 1]; the last column is the uniform model."""
 
-    def __init__(self, labelled: Sequence[tuple[str, str]], min_rows: int = 1, smoothing: float = 0.1):
-        rows: dict[str, list[np.ndarray]] = {}
-        for lang, text in labelled:
-            if lang and text:
-                octets = np.frombuffer(text.encode(), np.uint8)
-                rows.setdefault(lang, []).append(trigrams(octets)[says_something(octets)])
-        self.languages = sorted(x for x, parts in rows.items() if len(parts) >= min_rows)
+    def __init__(self, counts: Mapping[str, np.ndarray], smoothing: float = 0.1):
+        """``counts``: label -> how often each trigram occurs in its rows."""
+        self.languages = sorted(counts)
         table = np.full((BUCKETS, len(self.languages) + 1), -math.log(BUCKETS), np.float32)
         for k, lang in enumerate(self.languages):
-            counts = np.bincount(np.concatenate(rows[lang]), minlength=BUCKETS) + smoothing
-            table[:, k] = np.log(counts / counts.sum())
+            shares = counts[lang] + smoothing
+            table[:, k] = np.log(shares / shares.sum())
         self.table = table
 
+    @classmethod
+    def of_texts(cls, labelled: Sequence[tuple[str, str]]) -> Profiles:
+        counts: dict[str, np.ndarray] = {}
+        for lang, text in labelled:
+            if lang and text:
+                counts[lang] = counts.get(lang, 0) + count_trigrams(np.frombuffer(text.encode(), np.uint8))
+        return cls(counts)
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-likelihood per trigram (texts x models) and numbers of trigrams, of joined texts.
 
@@ -115,26 +125,45 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", sample_rows: i
     Labels are counted over all rows.  Each gives its rows with the smallest hash of text and id, as many as
     :func:`label_rows` says: all labels the same number or all they have, about ``sample_rows`` together.  Only rows
     below a cut of the hashes that leaves half as many again are sorted; where repeated rows make it leave too few,
-    the label is read again with a wider cut.
+    the label is read again with a wider cut.  Trigrams of the sample are counted in the cluster: what the driver gets is
+    a number per label and trigram, however long the texts are.
     """
     rows = docs.select(primary(F.col(label)).alias("l"), F.col(text).alias("t"), F.xxhash64(text, *([id_col] if id_col else [])).alias("h"))
     rows = rows.where(F.col("l").isNotNull() & (F.col("l") != UNKNOWN) & (F.col("t") != ""))
     counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().where(F.col("count") >= min_rows).collect()}
     take = label_rows(list(counts.values()), sample_rows)
-    chosen: dict[str, list[tuple[str, str]]] = {}
+    chosen: dict[str, np.ndarray] = {}
     todo, margin = sorted(counts), 1.5
-    first = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    order = Window.partitionBy("l").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     while todo:
         shares = {x: min(1.0, margin * take / counts[x]) for x in todo}
         cuts = docs.sparkSession.createDataFrame([(x, min((1 << 63) - 1, int((s - 0.5) * (1 << 64)))) for x, s in shares.items()], "cut_l string, cut long")
         below = rows.join(F.broadcast(cuts), (F.col("l") == F.col("cut_l")) & (F.col("h") <= F.col("cut")))
         below = below.groupBy("l", "h").agg(F.min("t").alias("t"), F.count("*").alias("n"))  # repeated rows are one with their number
-        found: dict[str, list[tuple[str, str]]] = {x: [] for x in todo}
-        for r in below.withColumn("at", first).where(F.col("at") <= take).orderBy("l", "at").collect():
-            found[r["l"]] += [(r["l"], r["t"])] * min(r["n"], take - len(found[r["l"]]))
-        chosen |= found
-        todo, margin = [x for x in todo if len(found[x]) < min(take, counts[x]) and shares[x] < 1], margin * 4
-    return Profiles([row for x in sorted(chosen) for row in chosen[x]], min_rows)
+        weight = F.least(F.col("n"), take - F.coalesce(F.sum("n").over(order), F.lit(0)))
+        sample = below.withColumn("weight", weight).where("weight > 0")
+        grams = sample.select("l", "t", "weight").mapInPandas(_weighted, "l string, gram int, n long, rows long").groupBy("l", "gram").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+        found: dict[str, int] = dict.fromkeys(todo, 0)
+        for r in grams.groupBy("l").agg(F.sort_array(F.collect_list(F.struct("gram", "n"))).alias("grams"), F.sum("rows").alias("rows")).collect():
+            table = np.zeros(BUCKETS + 1)
+            for gram, n in r["grams"]:
+                table[gram] = n
+            chosen[r["l"]], found[r["l"]] = table[:BUCKETS], r["rows"]
+        todo, margin = [x for x in todo if found[x] < min(take, counts[x]) and shares[x] < 1], margin * 4
+    return Profiles(chosen)
+
+
+def _weighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (l, t, weight) to counts of trigrams per label; the number of rows stands at a trigram that does not exist."""
+    tables: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for label, text, weight in zip(batch["l"], batch["t"], batch["weight"]):
+            table = tables.setdefault(label, np.zeros(BUCKETS + 1, np.int64))
+            table[:BUCKETS] += int(weight) * count_trigrams(np.frombuffer(text.encode(), np.uint8))
+            table[BUCKETS] += int(weight)
+    for label, table in tables.items():
+        grams = np.flatnonzero(table)
+        yield pd.DataFrame({"l": label, "gram": grams.astype(np.int32), "n": table[grams], "rows": np.where(grams == BUCKETS, table[grams], 0)})
 
 
 def primary(declared: Column) -> Column:

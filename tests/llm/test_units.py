@@ -299,7 +299,7 @@ def test_profiles_tell_languages_apart():
     rng = random.Random(1)
     words = {"en": "the of and with was that is for".split(), "de": "der die und nicht ist ein mit auf".split()}
     text = lambda lang: " ".join(rng.choices(words[lang], k=30))
-    p = language_id.Profiles([(lang, text(lang)) for lang in words for _ in range(20)])
+    p = language_id.Profiles.of_texts([(lang, text(lang)) for lang in words for _ in range(20)])
     for lang in words:
         raw = text(lang).encode()
         scores, letters = p.scores(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
