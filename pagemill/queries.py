@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import made_pages, sql
+from . import made_pages, rule_pages, sql
 from .functions import columns as C
 from .operators.extract import extract
 from .operators.extractors import chat_html
@@ -239,7 +239,7 @@ QUERIES = {
         dates_from_text, dates_from_unix, json_paths, node_tags, node_links, node_headings, node_link_density, node_list_items,
         node_links_outside_nav, node_sections_with_links, node_tag_counts, chat_pages, extract_navigation,
     )
-} | made_pages.QUERIES
+} | made_pages.QUERIES | rule_pages.QUERIES
 
 # -- the same in SQL ---------------------------------------------------
 
@@ -336,4 +336,4 @@ ORACLE_SQL = {
     "chat_pages": """SELECT conv_id, '<div class="conversation">' || string_agg('<div class="message message-' || role || '" data-role="' || role || '"><div class="message-header"><strong>' ||
         CASE role WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'Assistant' ELSE role END || '</strong></div><div class="message-content">' || text || '</div></div>', '' ORDER BY turn) || '</div>' AS html
         FROM conversations GROUP BY conv_id""",
-} | made_pages.ORACLE_SQL
+} | made_pages.ORACLE_SQL | rule_pages.ORACLE_SQL
