@@ -219,6 +219,58 @@ CASES = (
 )
 
 
+#: (rule, head of a page, fields that have a value); the icon is the host's where none is named.
+HEADS = (
+    ('MET1', '<meta name="twitter:title" content="{name} story"><title>Other</title>',
+     {'title': '{name} story'}),
+    ('MET2 MET3', '<meta property="og:title" content="{name} story | Daily Site"><meta property="og:site_name" content="Daily Site"><title>{name} story | Daily Site</title>',
+     {'title': '{name} story', 'site': 'Daily Site'}),
+    ('MET4 MET5', '<title>{name} writes a long story - Example</title>',
+     {'title': '{name} writes a long story', 'site': 'Example'}),
+    ('MET6', '<meta name="citation_author" content="Doe, Ann">',
+     {'author': 'Ann Doe', 'site': 'Ann Doe'}),
+    ('MET6 schema', '<script type="application/ld+json">{"@type": "Article", "headline": "{name} headline", "author": [{"name": "Ann"}, {"name": "Bob"}]}</script>',
+     {'title': '{name} headline', 'author': 'Ann, Bob', 'content_type': 'Article'}),
+    ('MET7', '<meta name="author" content="{name} - https://x.org/a">',
+     {'author': '{name}', 'site': '{name}'}),
+    ('MET8', '<meta name="parsely-pub-date" content="2024-02-03"><meta property="article:published_time" content="2024-05-06">',
+     {'published': '2024-05-06'}),
+    ('MET8 schema', '<script type="application/ld+json">[{"@type": "Thing"}, {"@type": "NewsArticle", "datePublished": "2024-07-08"}]</script>',
+     {'published': '2024-07-08', 'content_type': 'Thing'}),
+    ('MET10', '<meta property="og:updated_time" content="2024-02-03"><meta http-equiv="Last-Modified" content="2020-01-01">',
+     {'modified': '2024-02-03'}),
+    ('MET11', '<script type="application/ld+json">{"@type": "Article", "publisher": {"name": "{name} Press"}}</script><meta property="og:site_name" content="Other">',
+     {'site': '{name} Press', 'content_type': 'Article'}),
+    ('MET11 JSN4', '<script type="application/ld+json">{"@context": "x", "@graph": [{"@type": "WebSite", "name": "Graph Site"}, {"@type": "Article", "description": "of {name}"}]}</script>',
+     {'description': 'of {name}', 'content_type': 'Article'}),
+    ('MET12', '<meta property="og:description" content="og"><meta name="description" content="about {name}">',
+     {'description': 'about {name}'}),
+    ('MET13', '<meta name="twitter:image" content="https://e.com/t.png"><meta property="og:image" content="https://e.com/o.png">',
+     {'image': 'https://e.com/o.png'}),
+    ('MET13 schema', '<script type="application/ld+json">{"@type": "Article", "image": [{"url": "https://e.com/s.png"}]}</script>',
+     {'image': 'https://e.com/s.png', 'content_type': 'Article'}),
+    ('MET14', '<meta property="og:locale" content="pt_BR">',
+     {'language': 'pt-BR'}),
+    ('MET15 MET17', '<link rel="shortcut icon" href="/f.png"><link rel="canonical" href="/canon">',
+     {'favicon': 'https://www.example.com/f.png', 'canonical_url': 'https://www.example.com/canon'}),
+    ('MET17', '<meta property="og:url" content="https://e.com/og">',
+     {'canonical_url': 'https://e.com/og'}),
+    ('MET18', '<meta property="article:tag" content="a"><meta property="article:tag" content="{name}">',
+     {'keywords': 'a|{name}'}),
+    ('MET18 news', '<meta name="news_keywords" content="x, , {name}">',
+     {'keywords': 'x|{name}'}),
+    ('MET19', '<meta property="og:type" content="article">',
+     {'content_type': 'article'}),
+    ('MET19 schema', '<script type="application/ld+json">{"@type": ["WebPage", "Recipe"]}</script>',
+     {}),
+    ('JSN1 JSN2', '<script type="application/ld+json">{bad</script><script type="application/ld+json"><![CDATA[ {"@type": "Article", /* c */ "headline": "{name} // not a comment"} ]]></script>',
+     {'title': '{name} // not a comment', 'content_type': 'Article'}),
+    ('JSN3', '<script type="application/ld+json">{"@type": "Article", "headline": "{name} &amp;amp; &#66;ob"}</script>',
+     {'title': '{name} &amp; Bob', 'content_type': 'Article'}),
+)
+FIELDS = "title author site published modified description image language favicon canonical_url keywords content_type".split()
+
+
 def _page(place: str, html: str) -> str:
     first, last = f"<p>{FIRST}</p>", f"<p>{LAST}</p>"
     parts = {"mid": (first, html, last), "end": (first, last, html), "start": (html, first, last)}[place]
@@ -235,7 +287,20 @@ def rule_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", "rule", "page.content", F.col("page.content_markdown").alias("markdown"))
 
 
-def _quoted(text: str) -> str:
+def rule_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of metadata on pages of many names."""
+    body = "<body><article><p>Words of {name} that make up the text of this page.</p></article></body></html>"
+    cases = spark.createDataFrame([(k, rule, f"<html><head>{head}</head>{body}") for k, (rule, head, _) in enumerate(HEADS)], "kind long, rule string, html string")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name").withColumn("kind", F.pmod("c_custkey", F.lit(len(HEADS))))
+    rows = customers.join(F.broadcast(cases), "kind").withColumn("html", F.replace("html", F.lit("{name}"), F.col("c_name")))  # one row per rule
+    out = extract(rows.withColumn("url", F.lit("https://www.example.com/p")))
+    keywords = F.when(F.size("page.keywords") > 0, F.array_join("page.keywords", "|")).alias("keywords")
+    return out.select("c_custkey", "rule", *[keywords if f == "keywords" else F.col(f"page.{f}").alias(f) for f in FIELDS])
+
+
+def _quoted(text: str | None) -> str:
+    if text is None:
+        return "NULL"
     return "'" + text.replace("'", "''") + "'"
 
 
@@ -247,4 +312,12 @@ def _sql() -> str:
     return f"WITH cases(kind, rule, content, markdown) AS (VALUES {values}) SELECT c_custkey, rule, {fill('content')}, {fill('markdown')} FROM customer JOIN cases ON c_custkey % {len(CASES)} = kind"
 
 
-QUERIES, ORACLE_SQL = {"rule_pages": rule_pages}, {"rule_pages": _sql()}
+def _metadata_sql() -> str:
+    icon = {"favicon": "https://www.example.com/favicon.ico"}
+    values = ", ".join(f"({k}, {_quoted(rule)}, {', '.join(_quoted((icon | found).get(f)) for f in FIELDS)})" for k, (rule, _, found) in enumerate(HEADS))
+    filled = ", ".join(f"replace({f}, '{{name}}', c_name) AS {f}" for f in FIELDS)
+    return f"WITH cases(kind, rule, {', '.join(FIELDS)}) AS (VALUES {values}) SELECT c_custkey, rule, {filled} FROM customer JOIN cases ON c_custkey % {len(HEADS)} = kind"
+
+
+QUERIES = {"rule_pages": rule_pages, "rule_metadata": rule_metadata}
+ORACLE_SQL = {"rule_pages": _sql(), "rule_metadata": _metadata_sql()}
