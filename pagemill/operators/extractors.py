@@ -253,9 +253,13 @@ def _github_pull(doc: Node, replies: bool) -> Extract:
     return Extract(post_html("github", _html(holder if holder is not None else doc, css), comments), _github_title(doc), author or None, "GitHub")
 
 
+#: Fixed value: so many pages of an API's answers are read.
+API_PAGES = 10
+
+
 def _pages(payloads: Payloads, url: str) -> list[dict]:
     out: list[dict] = []
-    for page in range(1, 11):
+    for page in range(1, API_PAGES + 1):
         rows = _load(payloads, f"{url}?per_page=100&page={page}")
         rows = rows if isinstance(rows, list) else []
         out += [r for r in rows if isinstance(r, dict)]

@@ -1,9 +1,10 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill import sql
+from pagemill import queries, sql
 from pagemill.__main__ import main
 from pagemill.functions import columns as C
 from pagemill.functions import text
@@ -13,7 +14,7 @@ from pagemill.operators.metadata import iso_date
 from pagemill.operators.pipeline import Options
 from pagemill.operators.standardize import is_unsafe_uri
 from pagemill.plans import facts, nodes
-from pagemill.sources import files, web
+from pagemill.sources import files, shared, web
 from pagemill.streaming import pages as stream
 
 ARTICLE = "<html lang=en><head><title>T</title><meta property='og:title' content='M'><meta name=keywords content='a,b'></head><body><nav><a href=/x>x</a> y</nav><article><h1>H</h1><div>2024-01-02</div><p>" + "word " * 60 + "</p><img alt=i src=a.png><img alt=i src=bb.png></article></body></html>"
@@ -139,3 +140,48 @@ def test_command_line(tmp_path, capsys):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert extract(empty).count() == 0 and nodes.dom_nodes(empty).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+    Session.conf = Conf({"spark.master": "spark://host:7077", "spark.checkpoint.dir": "s3a://bucket/x/"})
+    path = shared.shared_dir(Session())
+    assert path.startswith("s3a://bucket/x/pagemill-")
+    shared._made.remove(path)
+
+
+def test_intermediate_tables_go(spark):
+    table = spark.range(5)
+    with shared.Scratch(spark) as scratch:
+        inner = shared.stored(table)
+        kept = scratch.keep(inner.where("id > 1"))
+    folder = lambda df: df.__dict__["stored_in"].removeprefix("file://")
+    assert not os.path.exists(folder(inner)) and os.path.exists(folder(kept)) and kept.count() == 3
+    shared.release(kept)
+    assert not os.path.exists(folder(kept))
+
+
+def test_large_tables_are_not_shuffled(spark, tmp_path):
+    spark.range(1000).repartition(32).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert queries._spread(many) is many
+    one = spark.range(10).coalesce(1)
+    assert queries._spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_rows_with_errors(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "<p>fine words here</p>"), (2, None), (3, '<img src=a.png width="' + "9" * 5000 + '">')], "page_id long, html string")
+    got = {r["page_id"]: r["page"] for r in extract(rows, url_col=None).collect()}
+    assert all(p["error"] is None for p in got.values()) and "fine words" in got[1]["content"]
+    monkeypatch.setattr(nodes, "parse_document", lambda html: 1 / 0)
+    assert nodes.node_rows("x") == [(0, 0, None, 0, 0, "error", None, None, "ZeroDivisionError: division by zero")]
+    monkeypatch.setattr(facts, "parse_document", lambda html: 1 / 0)
+    assert facts.facts_row("x") == {"error": "ZeroDivisionError: division by zero"}
