@@ -8,7 +8,8 @@ formatted conversation into its turns again, so formatting loses nothing.
 
 Rows are dealt by a hash of the conversation and sorted by turn; each task then
 streams its rows with one conversation open at a time, so memory is bounded by the
-longest conversation, not by a partition.
+longest conversation, not by a partition.  A conversation is one row of the result, so all its
+turns meet in one task, however many they are.
 
 Cases: null text and null role count as empty; a null turn sorts first; rows with
 the same turn are ordered by role, then text; repeated rows are repeated turns; a
