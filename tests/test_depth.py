@@ -43,9 +43,9 @@ def test_an_error_stays_in_its_row(monkeypatch):
 def test_time_grows_with_the_size_of_deep_pages(part):
     took = []
     for n in (2_000, 8_000):
-        began = time.perf_counter()
+        began = time.process_time()
         row = result_row(part * n, "https://e.com/", Options(separate_markdown=True))
-        took.append(time.perf_counter() - began)
+        took.append(time.process_time() - began)
         assert row["error"] is None
     assert took[1] < 10 * took[0] + 1  # four times the size; the square would be 16 times
 
