@@ -389,3 +389,14 @@ def test_entry_lists_every_query():
     names = set(entry.queries())
     assert {*queries.QUERIES, "pipeline", "extract_pages"} <= names and set(entry.oracle_sql()) <= names
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from pagemill.llm import _graph
+
+    edges = [(0, k) for k in range(1, 300)] + [(1000 + k, 1001 + k) for k in range(40)] + [(5000, 1005), (7000, 7001)] + [(8000 + k, 8500) for k in range(200)]
+    table = spark.createDataFrame(edges, "u long, v long")
+    want = {k: 0 for k in range(300)} | {1000 + k: 1000 for k in range(41)} | {5000: 1000, 7000: 7000, 7001: 7000, 8500: 8000} | {8000 + k: 8000 for k in range(200)}
+    for few in (_graph.FEW, 100):
+        monkeypatch.setattr(_graph, "FEW", few)
+        assert {r["node"]: r["root"] for r in _graph.components(table).collect()} == want
