@@ -152,7 +152,7 @@ def node_metadata_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.element_at(F.array(*[F.date_format("o_orderdate", f) for f in ("yyyy-MM-dd", "MMMM d, yyyy", "M/d/yyyy")]), (F.pmod("o_orderkey", F.lit(3)) + 1).cast("int"))
     html = F.concat(F.lit("<body><h1>Order</h1>"), F.repeat(F.lit("<p>plain words</p>"), F.pmod("o_orderkey", F.lit(5)).cast("int")), F.lit("<p>"), form, F.lit("</p><p>end</p>"))
     table = _nodes(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", html.alias("html")), "o_orderkey")
-    return nodes.text_of(table, table.join(nodes.metadata_blocks(table), ["page", "node_id"])).select(F.col("page").alias("o_orderkey"), "text")
+    return nodes.text_of(table, nodes.merged(table, nodes.metadata_blocks(table), ["page", "node_id"])).select(F.col("page").alias("o_orderkey"), "text")
 
 
 def node_streamed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

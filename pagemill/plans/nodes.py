@@ -99,22 +99,31 @@ def elements(nodes: DataFrame, *tags: str) -> DataFrame:
     return rows.where(F.col("tag").isin(*tags)) if tags else rows
 
 
+def merged(left: DataFrame, right: DataFrame, on: Column | list[str], how: str = "inner") -> DataFrame:
+    """A join by page, of sides that both grow with the pages.
+
+    Stored nodes repeat so much that a few MB of Parquet hold GBs of rows; by the size of the files
+    Spark would send one side through the driver to all executors.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def within(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """Pairs (o, i) of nodes where i is below o: an interval join inside each page."""
     o, i = outer.alias("o"), inner.alias("i")
-    return o.join(i, (F.col("o.page") == F.col("i.page")) & (F.col("i.node_id") > F.col("o.node_id")) & (F.col("i.node_id") <= F.col("o.end_id")))
+    return merged(o, i, (F.col("o.page") == F.col("i.page")) & (F.col("i.node_id") > F.col("o.node_id")) & (F.col("i.node_id") <= F.col("o.end_id")))
 
 
 def has_below(outer: DataFrame, inner: DataFrame) -> DataFrame:
     """Nodes of ``outer`` with a node of ``inner`` below: a semi join."""
     o, i = outer.alias("o"), inner.select("page", "node_id").alias("i")
-    return o.join(i, (F.col("o.page") == F.col("i.page")) & (F.col("i.node_id") > F.col("o.node_id")) & (F.col("i.node_id") <= F.col("o.end_id")), "left_semi")
+    return merged(o, i, (F.col("o.page") == F.col("i.page")) & (F.col("i.node_id") > F.col("o.node_id")) & (F.col("i.node_id") <= F.col("o.end_id")), "left_semi")
 
 
 def not_inside(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """Nodes of ``inner`` that are below no node of ``outer``: an anti join."""
     o, i = outer.select("page", "node_id", "end_id").alias("o"), inner.alias("i")
-    return i.join(o, (F.col("o.page") == F.col("i.page")) & (F.col("i.node_id") > F.col("o.node_id")) & (F.col("i.node_id") <= F.col("o.end_id")), "left_anti")
+    return merged(i, o, (F.col("o.page") == F.col("i.page")) & (F.col("i.node_id") > F.col("o.node_id")) & (F.col("i.node_id") <= F.col("o.end_id")), "left_anti")
 
 
 def text_of(nodes: DataFrame, outer: DataFrame) -> DataFrame:
@@ -122,7 +131,7 @@ def text_of(nodes: DataFrame, outer: DataFrame) -> DataFrame:
     pairs = within(nodes.where("kind = 'text'").select("page", "node_id", "own_text"), outer.select("page", "node_id", "end_id"))
     parts = pairs.groupBy(F.col("o.page").alias("page"), F.col("o.node_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("i.node_id").alias("n"), F.col("i.own_text").alias("t")))).alias("parts"))
     texts = parts.select("page", "node_id", F.array_join(F.transform("parts", lambda p: p["t"]), "").alias("text"))
-    return outer.select("page", "node_id").join(texts, ["page", "node_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return merged(outer.select("page", "node_id"), texts, ["page", "node_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def link_density(nodes: DataFrame, outer: DataFrame) -> DataFrame:
@@ -132,7 +141,7 @@ def link_density(nodes: DataFrame, outer: DataFrame) -> DataFrame:
     link_text = text_of(nodes, links).withColumnRenamed("text", "link_text")
     below = within(link_text.select("page", "node_id", "link_text"), outer.select("page", "node_id", "end_id"))
     sums = below.groupBy(F.col("o.page").alias("page"), F.col("o.node_id").alias("node_id")).agg(F.sum(size("i.link_text")).alias("linked"))
-    rows = text_of(nodes, outer).join(sums, ["page", "node_id"], "left")
+    rows = merged(text_of(nodes, outer), sums, ["page", "node_id"], "left")
     return rows.select("page", "node_id", F.when(size("text") > 0, F.coalesce("linked", F.lit(0)) / size("text")).otherwise(0.0).alias("density"))
 
 
@@ -140,7 +149,7 @@ def tag_counts(nodes: DataFrame, outer: DataFrame, *tags: str) -> DataFrame:
     """page, node_id and one count per tag of the elements below each node of ``outer``."""
     pairs = within(elements(nodes, *tags).select("page", "node_id", "tag"), outer.select("page", "node_id", "end_id"))
     counts = pairs.groupBy(F.col("o.page").alias("page"), F.col("o.node_id").alias("node_id")).agg(*[F.count_if(F.col("i.tag") == t).alias(t) for t in tags])
-    return outer.select("page", "node_id").join(counts, ["page", "node_id"], "left").na.fill(0)
+    return merged(outer.select("page", "node_id"), counts, ["page", "node_id"], "left").na.fill(0)
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
@@ -170,9 +179,9 @@ def best_images(nodes: DataFrame) -> DataFrame:
 def metadata_blocks(nodes: DataFrame) -> DataFrame:
     """page, node_id: of the three elements after a page's first h1, the first short one that has a date."""
     first = elements(nodes, "h1").groupBy("page").agg(F.min_by(F.struct("parent_id", "child_idx"), "node_id").alias("h"))
-    after = elements(nodes).alias("n").join(first.alias("f"), (F.col("n.page") == F.col("f.page")) & (F.col("n.parent_id") == F.col("f.h.parent_id")) & (F.col("n.child_idx") > F.col("f.h.child_idx"))).select("n.*")
+    after = merged(elements(nodes).alias("n"), first.alias("f"), (F.col("n.page") == F.col("f.page")) & (F.col("n.parent_id") == F.col("f.h.parent_id")) & (F.col("n.child_idx") > F.col("f.h.child_idx"))).select("n.*")
     near = after.withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy("child_idx"))).where("k <= 3")
-    texts = text_of(nodes, near).join(near.select("page", "node_id", "k"), ["page", "node_id"])
+    texts = merged(text_of(nodes, near), near.select("page", "node_id", "k"), ["page", "node_id"])
     date = r"(?i)(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w*\s+\d{1,2},?\s+\d{4}|\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}"
     short = columns.trim(F.col("text"))
     found = texts.where((short != "") & (F.octet_length(short) < 300) & F.regexp_like("text", F.lit(date)))

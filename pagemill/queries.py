@@ -172,7 +172,7 @@ def node_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_nodes = _nodes(spark, sf_dir)
     links = nodes.elements(all_nodes, "a")
-    texts = nodes.text_of(all_nodes, links).join(links.select("page", "node_id", nodes.attr("href").alias("href")), ["page", "node_id"])
+    texts = nodes.merged(nodes.text_of(all_nodes, links), links.select("page", "node_id", nodes.attr("href").alias("href")), ["page", "node_id"])
     return texts.select(F.col("page").alias("page_id"), "href", "text")
 
 
@@ -186,14 +186,14 @@ def node_link_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_nodes = _nodes(spark, sf_dir)
     found = nodes.link_density(all_nodes, nodes.elements(all_nodes, "body", "nav", "article"))
     tags = nodes.elements(all_nodes, "body", "nav", "article").select("page", "node_id", "tag")
-    return found.join(tags, ["page", "node_id"]).select(F.col("page").alias("page_id"), "tag", F.round("density", 9).alias("density"))
+    return nodes.merged(found, tags, ["page", "node_id"]).select(F.col("page").alias("page_id"), "tag", F.round("density", 9).alias("density"))
 
 
 def node_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_nodes = _nodes(spark, sf_dir)
     found = nodes.tag_counts(all_nodes, nodes.elements(all_nodes, "nav", "article"), "a", "li", "p")
     tags = nodes.elements(all_nodes, "nav", "article").select("page", "node_id", "tag")
-    return found.join(tags, ["page", "node_id"]).select(F.col("page").alias("page_id"), "tag", "a", "li", "p")
+    return nodes.merged(found, tags, ["page", "node_id"]).select(F.col("page").alias("page_id"), "tag", "a", "li", "p")
 
 
 def node_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,3 +185,21 @@ def test_rows_with_errors(spark, monkeypatch):
     assert nodes.node_rows("x") == [(0, 0, None, 0, 0, "error", None, None, "ZeroDivisionError: division by zero")]
     monkeypatch.setattr(facts, "parse_document", lambda html: 1 / 0)
     assert facts.facts_row("x") == {"error": "ZeroDivisionError: division by zero"}
+
+
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _stored_nodes(spark):
+    html = '<body><h1>H</h1><p>2024-01-02</p><template id="B:1"></template><div id="S:1">x</div><a href=y>y</a><script>$RC("B:1","S:1")</script>'
+    return shared.stored(nodes.dom_nodes(spark.createDataFrame([(k, html) for k in range(3)], "page_id long, html string")))
+
+
+def test_metadata_blocks_are_found_without_a_broadcast(spark):
+    table = _stored_nodes(spark)
+    density, counts = nodes.link_density(table, nodes.elements(table, "body")), nodes.tag_counts(table, nodes.elements(table, "body"), "a", "p")
+    below, apart = nodes.has_below(nodes.elements(table, "body"), nodes.elements(table, "a")), nodes.not_inside(nodes.elements(table, "a"), nodes.elements(table, "p"))
+    blocks = nodes.text_of(table, nodes.merged(table, nodes.metadata_blocks(table), ["page", "node_id"]))
+    assert not [df.columns for df in (blocks, density, counts, below, apart) if "Broadcast" in _physical(df)]
+    assert sorted(r["text"] for r in blocks.collect()) == ["2024-01-02"] * 3 and below.count() == apart.count() == 3
