@@ -162,7 +162,7 @@ def node_streamed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit('<body><div><template id="B:1"></template>wait</div><div hidden id="S:1"><p>'), "c_name", F.lit("</p></div>"), call)
     table = _nodes(rows.select("c_custkey", html.alias("html")), "c_custkey")
     found = nodes.streamed_segments(table)
-    parts = table.join(found.select("page", F.col("segment_id").alias("node_id")), ["page", "node_id"])
+    parts = nodes.merged(table, found.select("page", F.col("segment_id").alias("node_id")), ["page", "node_id"])
     return nodes.text_of(table, parts).select(F.col("page").alias("c_custkey"), "text")
 
 

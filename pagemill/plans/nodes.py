@@ -197,7 +197,7 @@ def streamed_segments(nodes: DataFrame) -> DataFrame:
     named = elements(nodes).where(attr("id").isNotNull()).select("page", "tag", attr("id").alias("name"), "node_id")
     holes = named.where("tag = 'template'").select("page", F.col("name").alias("boundary"), F.col("node_id").alias("template_id"))
     parts = named.select("page", F.col("name").alias("segment"), F.col("node_id").alias("segment_id"))
-    return calls.join(holes, ["page", "boundary"]).join(parts, ["page", "segment"]).select("page", "template_id", "segment_id")
+    return merged(merged(calls, holes, ["page", "boundary"]), parts, ["page", "segment"]).select("page", "template_id", "segment_id")
 
 
 def register(spark: SparkSession) -> None:

@@ -203,3 +203,8 @@ def test_metadata_blocks_are_found_without_a_broadcast(spark):
     blocks = nodes.text_of(table, nodes.merged(table, nodes.metadata_blocks(table), ["page", "node_id"]))
     assert not [df.columns for df in (blocks, density, counts, below, apart) if "Broadcast" in _physical(df)]
     assert sorted(r["text"] for r in blocks.collect()) == ["2024-01-02"] * 3 and below.count() == apart.count() == 3
+
+
+def test_streamed_segments_are_joined_without_a_broadcast(spark):
+    found = nodes.streamed_segments(_stored_nodes(spark))
+    assert "Broadcast" not in _physical(found) and found.count() == 3
