@@ -95,8 +95,13 @@ def iso_date(text: Column) -> Column:
 
 
 def unix_day(seconds: Column) -> Column:
-    """Day of a Unix time, in UTC whatever the session's time zone."""
-    return F.date_format(F.date_add(F.to_date(F.lit("1970-01-01")), F.floor(seconds / 86400).cast("int")), "yyyy-MM-dd")
+    """Day of a Unix time, in UTC whatever the session's time zone; years have four digits or as many as they need, without a plus."""
+    by = lambda a, n: F.call_function("div", a, F.lit(n)) - F.when(a % n < 0, 1).otherwise(0)
+    days = by(F.floor(seconds), 86400)
+    cycle = by(days, 146_097)  # the calendar repeats after 400 years of so many days
+    date = F.date_add(F.to_date(F.lit("1970-01-01")), (days - cycle * 146_097).cast("int"))
+    year = F.year(date) + cycle * 400
+    return F.concat(F.when(year.between(1000, 9999), year.cast("string")).otherwise(F.format_string("%04d", year)), F.date_format(date, "-MM-dd"))
 
 
 def percent_encode(text: Column) -> Column:
