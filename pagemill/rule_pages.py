@@ -292,6 +292,7 @@ def rule_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = "<body><article><p>Words of {name} that make up the text of this page.</p></article></body></html>"
     cases = spark.createDataFrame([(k, rule, f"<html><head>{head}</head>{body}") for k, (rule, head, _) in enumerate(HEADS)], "kind long, rule string, html string")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name").withColumn("kind", F.pmod("c_custkey", F.lit(len(HEADS))))
+    customers = customers.repartition(spark.sparkContext.defaultParallelism)  # a small file is one split, but its pages take long
     rows = customers.join(F.broadcast(cases), "kind").withColumn("html", F.replace("html", F.lit("{name}"), F.col("c_name")))  # one row per rule
     out = extract(rows.withColumn("url", F.lit("https://www.example.com/p")))
     keywords = F.when(F.size("page.keywords") > 0, F.array_join("page.keywords", "|")).alias("keywords")

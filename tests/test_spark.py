@@ -214,3 +214,8 @@ def test_days_far_from_today_have_plain_years(spark):
     times = {0: "1970-01-01", -1: "1969-12-31", 951_782_400: "2000-02-29", 253_402_300_799: "9999-12-31", 253_402_300_800: "10000-01-01", 777_590_913_601: "26610-11-16", -62_135_596_800: "0001-01-01", (1 << 63) - 1: "292277026596-12-04"}
     rows = spark.createDataFrame([(k,) for k in times], "s long").select("s", C.unix_day(F.col("s")).alias("day"))
     assert {r["s"]: r["day"] for r in rows.collect()} == times
+
+
+def test_pages_made_for_metadata_rules_go_to_all_cores(spark, tmp_path):
+    spark.createDataFrame([(k, f"n{k}") for k in range(9)], "c_custkey long, c_name string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert queries.QUERIES["rule_metadata"](spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
