@@ -14,6 +14,7 @@ import json
 import os
 import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -134,3 +135,12 @@ class TextEncoder:
                 parts = _SAFE_CUT.split(text) if text else []
                 out.append(b"".join(part(p, " " if k else "") for k, p in enumerate(parts)))
         return out
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, max_parts: int = 300_000, max_words: int = 300_000) -> TextEncoder:
+    """The encoder of this Python worker, which keeps its tables from task to task.
+
+    Smaller tables that are full already take the same time as larger ones that each task fills anew, and less memory.
+    """
+    return TextEncoder(path, max_parts, max_words)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import stored
-from ._tokens import TextEncoder
+from ._tokens import worker_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 #: Partition numbers and counts share the 63 bits of a sequence number with the round.
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, windows: int = 32,
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _partition()
-        packer, encoder = Packer(width, windows, part * _PART), TextEncoder(tokenizer)
+        packer, encoder = Packer(width, windows, part * _PART), worker_encoder(tokenizer)
         end = np.array([end_id], "<u4")
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)

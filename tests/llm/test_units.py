@@ -311,3 +311,14 @@ def test_profiles_tell_languages_apart():
 def test_rows_of_labels():
     assert language_id.label_rows([10, 20], 2000) == 2000 and language_id.label_rows([10, 10_000, 9000], 2000) == 995
     assert language_id.label_rows([10_000] * 400, 2000) == 50 and language_id.label_rows([], 2000) == 2000
+
+
+def test_a_worker_keeps_one_encoder_of_bounded_tables():
+    from pagemill.llm import _tokens, packing
+
+    path = tokenizer_path()
+    one = packing.worker_encoder(path, 50, 50)
+    assert packing.worker_encoder(path, 50, 50) is one
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + j)}x{'.' * (k % 3)}" for k in range(40)) + "\n" + str(j) for j in range(20)]
+    assert [x for t in texts for x in one.batch([t])] == one._whole(texts) and len(one._known) <= 50
+    assert packing.worker_encoder(path)._max < _tokens.TextEncoder(path)._max
