@@ -26,6 +26,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tokens import TextEncoder
+from ._tokens import worker_encoder
 
 #: Fixed values of the format.
 MAGIC, BLOCK, PERCENTILE = b"PMTOK01\n", 512, 95
@@ -159,7 +160,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         part = TaskContext.get().partitionId()
         where, base = open_fs(path)
         name, temp = f"part-{part:08d}.ids", f".{uuid.uuid4().hex}.tmp"
-        encoder, end = TextEncoder(tokenizer), np.array([end_id], "<u4")
+        encoder, end = worker_encoder(tokenizer), np.array([end_id], "<u4")
         docs_, nulls, counts = [], [], []  # arrays, one per batch
         sink = writer = None
         for batch in batches:
@@ -168,13 +169,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             if writer is None:
                 sink = where.open_output_stream(f"{base}/{temp}")
                 writer = _Writer(sink)
-            texts = batch.column(1)
             docs_.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
             nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
-            for at in range(0, len(texts), 64):
-                ids = [x for raw in encoder.batch(texts.slice(at, 64).to_pylist()) for x in (np.frombuffer(raw, "<u4"), end)]
-                counts.append(np.array([len(x) + 1 for x in ids[::2]], np.int64))
-                writer.add(ids)
+            for own in batched(encoder.arrays(batch.column(1)), 64):
+                counts.append(np.array([len(x) + 1 for x in own], np.int64))
+                writer.add([x for ids in own for x in (ids, end)])
         if writer is None:
             return
         sizes = np.concatenate(counts)

@@ -322,3 +322,48 @@ def test_a_worker_keeps_one_encoder_of_bounded_tables():
     texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + j)}x{'.' * (k % 3)}" for k in range(40)) + "\n" + str(j) for j in range(20)]
     assert [x for t in texts for x in one.batch([t])] == one._whole(texts) and len(one._known) <= 50
     assert packing.worker_encoder(path)._max < _tokens.TextEncoder(path)._max
+
+
+PIECES = [" ", "  ", "\n", "\n\n", "\t", "a", "the", "Wört", "ab.", "ab.\nCd", "é!?", "ªb", "\u0250x", "日本", "don't", "'s", "x1", "12", "...", "$5", "\u00a0", "\x1c", "<|endoftext|>", "😀", "\x00"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(PIECES), max_size=12).map("".join) | st.lists(st.sampled_from(PIECES), max_size=12).map(" ".join), max_size=8), st.integers(0, 3))
+def test_texts_of_a_column_are_encoded_like_whole_texts(texts, skipped):
+    import pyarrow as pa
+
+    encoder, whole = _encoders()
+    column = pa.array(["skipped"] * skipped + texts, pa.string()).slice(skipped)
+    got = [ids.tolist() for ids in encoder.arrays(column)]
+    assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_runs_of_texts_and_long_parts(monkeypatch):
+    import pyarrow as pa
+
+    from pagemill.llm import _tokens
+
+    monkeypatch.setattr(_tokens, "_RUN", 300)
+    encoder, whole = TextEncoder(tokenizer_path(), 50, 50), _encoders()[1]
+    texts = [f"word{k % 7} " * (k % 40) + "x" * (k * 5) + f" end.\nNext{'!' * (k % 3)}" for k in range(60)] + ["", None, "y" * 1000]
+    assert [ids.tolist() for ids in encoder.arrays(pa.array(texts))] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for table in (encoder._known, encoder._words):
+        assert len(table) + len(table.old) <= 50 and all(len(k) <= _tokens._LONGEST and "\n" not in k for k in table)
+
+
+def test_a_full_table_keeps_the_words_that_are_asked_for():
+    encoder = TextEncoder(tokenizer_path(), 80, 80)
+    model, asked = encoder._tok.model, []
+
+    class Model:
+        def tokenize(self, word):
+            asked.append(word)
+            return model.tokenize(word)
+
+    often = [a + b for a in "bcdf" for b in "aeiou"]
+    rare = ["".join(chr(97 + k // 26**j % 26) for j in range(3)) + "q" for k in range(1000)]
+    encoder._tok = type("Tok", (), {"model": Model()})()  # what asks the library, then and now
+    encoder._model = encoder._tok.model
+    for k in range(0, len(rare), 10):
+        encoder.batch([" ".join(["x", *often, *(w + m for w in rare[k : k + 10] for m in ("", ".", ","))])])
+    assert sum(w[1:] in often for w in asked) == len(often) and len(asked) <= len(often) + len(rare) + 10
