@@ -93,9 +93,12 @@ def _gather(ids: list[bytes] | tuple[np.ndarray, np.ndarray], which: np.ndarray)
     if isinstance(ids, list):
         ids = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     flat, sizes = ids
+    sizes = sizes.astype(np.int32)
     counts = sizes[which]
-    to = np.cumsum(counts)
-    return flat[np.repeat((np.cumsum(sizes) - sizes)[which] - to + counts, counts) + np.arange(to[-1] if len(to) else 0)], counts
+    to = np.cumsum(counts, dtype=np.int32)
+    at = np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[which] - to + counts, counts)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at], counts
 
 
 class TextEncoder:
@@ -162,12 +165,12 @@ class TextEncoder:
             out.append(array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes())
         return b"".join(out)
 
-    def arrays(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text of a column of strings, as ``uint32``."""
+    def arrays(self, texts: pa.Array, run_bytes: int | None = None) -> Iterator[np.ndarray]:
+        """The ids of each text of a column of strings, as ``uint32``; ``run_bytes`` of text are cut at once."""
         texts = texts.cast(pa.large_string()).fill_null("")
         ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _RUN, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (run_bytes or _RUN), side="right")))
             run = texts.slice(at, to - at)
             yield from self._run(run) if self._cut else (np.frombuffer(ids, "<u4") for ids in self._whole(run.to_pylist()))
             at = to
@@ -179,9 +182,10 @@ class TextEncoder:
         cut = pc.split_pattern(texts, " ")
         ends, n = cut.offsets.to_numpy() - cut.offsets[0].as_py(), len(texts)
         coded = cut.flatten().dictionary_encode()
-        parts, which, firsts = coded.dictionary, coded.indices.to_numpy().astype(np.int64), ends[:-1]
+        parts, which, firsts = coded.dictionary, coded.indices.to_numpy().copy(), ends[:-1]
         heads = parts.take(pa.array(which[firsts])).to_pylist()
         which[firsts] = len(parts) + np.arange(n)
+        del cut, coded
         behind = np.bincount(which, minlength=len(parts) + n)[: len(parts)] > 0  # what only begins texts needs no ids behind a space
         flat, sizes = self._behind_spaces(parts, behind)
         # A space next to other white space or an end: such texts are cut at other places, one by one.

@@ -34,6 +34,8 @@ from ._tokens import worker_encoder
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 #: Partition numbers and counts share the 63 bits of a sequence number with the round.
 _ROUND, _PART = 1 << 58, 1 << 34
+#: Bytes of text encoded at once and entries of the encoder's tables: small, as in a chain of stages the worker keeps them beside what others hold.
+_RUN, _TABLES = 1 << 20, (200_000, 50_000)
 
 
 class Packer:
@@ -156,14 +158,12 @@ def pack(docs: DataFrame, tokenizer: str, width: int = 1024, windows: int = 32,
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = _partition()
-        packer, encoder = Packer(width, windows, part * _PART), worker_encoder(tokenizer)
+        packer, encoder = Packer(width, windows, part * _PART), worker_encoder(tokenizer, *_TABLES)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(names), 64):
-                for doc, raw in zip(names[at : at + 64], encoder.batch(texts.slice(at, 64).to_pylist())):
-                    ids = np.concatenate([np.frombuffer(raw, "<u4"), end])
-                    packer.add(doc, 0, ids, len(ids))
+            for doc, raw in zip(batch.column(0).to_pylist(), encoder.arrays(batch.column(1), _RUN)):
+                ids = np.concatenate([raw, end])
+                packer.add(doc, 0, ids, len(ids))
                 if len(packer.done) >= 512:
                     yield _table(packer.done)
                     packer.done = []

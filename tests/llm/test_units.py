@@ -367,3 +367,14 @@ def test_a_full_table_keeps_the_words_that_are_asked_for():
     for k in range(0, len(rare), 10):
         encoder.batch([" ".join(["x", *often, *(w + m for w in rare[k : k + 10] for m in ("", ".", ","))])])
     assert sum(w[1:] in often for w in asked) == len(often) and len(asked) <= len(often) + len(rare) + 10
+
+
+def test_packing_encodes_runs_of_bounded_bytes(monkeypatch):
+    import pyarrow as pa
+
+    encoder, runs = TextEncoder(tokenizer_path(), *packing._TABLES), []
+    run = encoder._run
+    monkeypatch.setattr(encoder, "_run", lambda texts: runs.append(len(texts)) or run(texts))
+    texts = [f"one two{k} three.\nFour {'long ' * (k % 5)}end" for k in range(200)]
+    assert [ids.tobytes() for ids in encoder.arrays(pa.array(texts), 1000)] == encoder._whole(texts)
+    assert sum(runs) == 200 and len(runs) > 5 and packing._RUN <= 1 << 20
